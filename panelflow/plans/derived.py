@@ -62,6 +62,46 @@ SELECT event_id AS seq, user_id AS run_id, CASE event_type
 FROM events""",
 }
 
+# chained overlaps: neighbours copy each other, the ends of a chain do not
+VIEWS["v_chained"] = VIEWS["v_regions"].replace("l_suppkey % 7 AS x0", "(l_suppkey % 7) * 8 AS x0").replace(
+    "* 150 + 120 AS x1", "* 150 + (l_suppkey % 7) * 8 + 120 AS x1")
+
+# regions with layout areas, colours and sizes, some of them unusable
+VIEWS["v_styled"] = f"""
+SELECT image_id, ord, x0, y0, x1, y1, confidence, translated,
+  CASE WHEN ord % 6 = 5 THEN 'other' ELSE region_kind END AS region_kind,
+  ord % 5 <> 4 AS has_layout,
+  x0 - (ord % 3) * 20 AS lx0, y0 + (ord % 2) * 60 AS ly0, x1 + (ord % 3) * 25 AS lx1, y1 + (ord % 4) * 10 AS ly1,
+  CASE WHEN ord % 5 = 0 THEN NULL ELSE cast((x0 + y0) % 60 AS double) END AS font_size,
+  CASE ord % 3 WHEN 0 THEN '#11Aa3' || cast(ord % 10 AS varchar(20)) WHEN 1 THEN ' #102030' ELSE 'red' END AS text_color,
+  CASE ord % 4 WHEN 0 THEN '#ffffff' WHEN 1 THEN '#f0e0d0' ELSE NULL END AS background_color,
+  CASE ord % 2 WHEN 0 THEN '#0000ff' ELSE '' END AS stroke_color,
+  cast(ord % 4 AS double) AS stroke_width, cast(ord * 70 - 280 AS double) AS rotation,
+  ord % 3 = 1 AS background_complex,
+  CASE ord % 2 WHEN 0 THEN 'vertical' ELSE 'horizontal' END AS orientation
+FROM ({VIEWS["v_regions"].strip()}
+) r"""
+
+# one model answer per line, with every kind of fault
+VIEWS["v_answers"] = """
+SELECT image_id, n, CASE n % 16
+  WHEN 8 THEN '{"regions":[' || part_a || '}'
+  WHEN 9 THEN '{"regions":{}}'
+  WHEN 11 THEN '{"regions":[],"note":1}'
+  WHEN 12 THEN '[1]'
+  ELSE '{"regions":[' || part_a || part_b || '}]}' END AS output
+FROM (
+  SELECT image_id, n,
+    '{"box":[10,20,' || CASE WHEN n % 16 = 5 THEN '30' ELSE '300,400.5' END || '],"layoutBox":[0,0,500,500],"original":"o' ||
+    cast(n AS varchar(20)) || '","translated":"t","regionKind":"' || CASE WHEN n % 16 = 6 THEN 'shout' ELSE 'sfx' END ||
+    '","orientation":"vertical","fontSize":' || cast(n % 40 AS varchar(20)) ||
+    ',"textColor":"#112233","backgroundColor":"#ffffff","bold":' || CASE WHEN n % 16 = 10 THEN '"yes"' ELSE 'true' END ||
+    ',"fontStyle":"serif","strokeColor":"#000000","strokeWidth":2,"italic":false,"rotation":-4.5,"align":"left","backgroundComplex":true' AS part_a,
+    CASE n % 16 WHEN 1 THEN '' WHEN 2 THEN ',"confidence":null' WHEN 3 THEN ',"confidence":"0.9"' WHEN 4 THEN ',"confidence":1.5'
+      ELSE ',"confidence":' || cast(share AS varchar(20)) END || CASE WHEN n % 16 = 7 THEN ',"zeta":1,"alpha":2' ELSE '' END AS part_b
+  FROM (SELECT l_orderkey AS image_id, l_partkey + l_linenumber AS n, l_discount AS share FROM lineitem) a
+) b"""
+
 
 def view_text(name: str) -> str:
     return VIEWS[name].strip()
