@@ -238,7 +238,7 @@ def dedup_regions(regions: DataFrame, key: str = "image_id") -> DataFrame:
     component per key.
     """
     confidence = F.coalesce(F.when(~F.isnan("confidence"), F.col("confidence")), F.lit(0.0))
-    rated = regions.withColumn("__confidence", confidence)
+    rated = materialize(regions.select(key, "ord", *EDGES, confidence.alias("__confidence")), "boxes")
     best = F.struct((-F.col("__confidence")).alias("c"), F.col("ord").alias("ord"))
     boxes = rated.groupBy(key, *EDGES).agg(F.min("ord").cast("bigint").alias("ord"), F.min(best).alias("__best"))
     boxes, cell_keys = _with_cells(boxes)

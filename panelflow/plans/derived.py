@@ -102,6 +102,27 @@ FROM (
   FROM (SELECT l_orderkey AS image_id, l_partkey + l_linenumber AS n, l_discount AS share FROM lineitem) a
 ) b"""
 
+# crops on few, long pages (one page may hold any number of crops)
+VIEWS["v_crops"] = f"""
+SELECT page, crop_index, x0 AS left_edge, y0 AS top_edge,
+  x0 + 200 + (x0 * 37 + crop_index * 211) % 1500 AS right_edge, y0 + 300 + (y0 * 53 + crop_index * 97) % 1800 AS bottom_edge
+FROM (
+  SELECT image_id % 101 AS page, x0, y0,
+    cast(row_number() OVER (PARTITION BY image_id % 101 ORDER BY image_id, ord) AS bigint) AS crop_index
+  FROM ({VIEWS["v_regions"].strip()}
+  ) r
+) q"""
+
+# captions to be set: half of them Korean
+VIEWS["v_captions"] = """
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '가 ' || text ELSE text END AS translated,
+  CASE WHEN conv_id % 3 = 0 THEN 'horizontal' ELSE 'vertical' END AS orientation,
+  CASE conv_id % 4 WHEN 0 THEN 'dialogue' WHEN 1 THEN 'narration' WHEN 2 THEN 'sfx' ELSE 'label' END AS region_kind,
+  cast(90 + (conv_id * 7 + turn) % 11 * 80 AS double) AS layout_width,
+  cast(60 + (conv_id * 5 + turn) % 13 * 70 AS double) AS layout_height,
+  cast(9 + (conv_id + turn) % 40 AS double) AS font_px
+FROM conversations"""
+
 
 def view_text(name: str) -> str:
     return VIEWS[name].strip()
