@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.functions.values import clamp, clamp_finite, half_up, or_zero, tenth
@@ -45,6 +45,26 @@ def box_to_pixels(values: Column, image_width: Column, image_height: Column) ->
     return F.when((F.size(values) == 4) & big, box(left, top, right, bottom))
 
 
+def with_pixel_box(df: DataFrame, values: str, out: str, image_width: Column, image_height: Column) -> DataFrame:
+    """:func:`box_to_pixels` as a column, worked out step by step so that no step is
+    evaluated more than once per row, however often its result is used."""
+    corner, edge = [f"__{out}_v{i}" for i in range(4)], {e: f"__{out}_{e}" for e in EDGES}
+    v = [F.col(c) for c in corner]
+    kept = df.columns
+    clamped = df.select("*", *[
+        clamp(or_zero(F.get(F.col(values), F.lit(i))), 0.0, 1000.0).alias(corner[i]) for i in range(4)])
+    edged = clamped.select(
+        *kept,
+        F.floor(F.least(v[0], v[2]) / 1000 * image_width).alias(edge["left"]),
+        F.floor(F.least(v[1], v[3]) / 1000 * image_height).alias(edge["top"]),
+        F.ceil(F.greatest(v[0], v[2]) / 1000 * image_width).alias(edge["right"]),
+        F.ceil(F.greatest(v[1], v[3]) / 1000 * image_height).alias(edge["bottom"]),
+    )
+    at = {e: F.col(c) for e, c in edge.items()}
+    usable = (F.size(values) == 4) & (at["right"] - at["left"] >= 2) & (at["bottom"] - at["top"] >= 2)
+    return edged.select(*kept, F.when(usable, box(*at.values())).alias(out))
+
+
 def map_to_anchor(values: Column, crop: Column) -> Column:
     """A 0..1000 box placed inside an anchor given as left/top/width/height."""
     b = normalize_box(values)

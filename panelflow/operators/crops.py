@@ -24,15 +24,12 @@ CHUNK = 4096
 
 def crop_candidates(regions: DataFrame, image_width: Column, image_height: Column, key: str = "image_id") -> DataFrame:
     """Each usable region with its padded box."""
-    content = g.union_box(
-        g.box_to_pixels(F.col("box"), image_width, image_height),
-        g.box_to_pixels(F.col("layout_box"), image_width, image_height),
-    )
-    boxed = (
-        regions.where(F.trim(F.coalesce("translated", F.lit(""))) != "")
-        .select(key, "ord", image_width.alias("image_width"), image_height.alias("image_height"), content.alias("__c"))
-        .where("__c is not null")
-    )
+    page = regions.where(F.trim(F.coalesce("translated", F.lit(""))) != "").select(
+        key, "ord", image_width.alias("image_width"), image_height.alias("image_height"), "box", "layout_box")
+    size = F.col("image_width"), F.col("image_height")
+    found = g.with_pixel_box(g.with_pixel_box(page, "box", "__own", *size), "layout_box", "__layout", *size)
+    boxed = found.where("__own is not null or __layout is not null").withColumn(
+        "__c", g.union_box(F.col("__own"), F.col("__layout")))
     c, w, h = F.col("__c"), g.width(F.col("__c")), g.height(F.col("__c"))
     pad_x = half_up(clamp(F.greatest(F.lit(24), w * 0.65, h * 0.18), 24, F.col("image_width") * 0.14))
     pad_y = half_up(clamp(F.greatest(F.lit(24), h * 0.28, w * 0.18), 24, F.col("image_height") * 0.12))

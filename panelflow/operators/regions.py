@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.functions.color import parse_hex, rgb
-from panelflow.functions.geometry import EDGES, area, box, box_to_pixels, intersection_over_union
+from panelflow.functions.geometry import EDGES, area, with_pixel_box
 from panelflow.functions.values import clamp, is_finite, or_zero, zero_means_default
 from panelflow.operators.components import connected_components
 from panelflow.operators.folds import ordered_fold
@@ -46,11 +46,10 @@ def normalize_regions(regions: DataFrame, image_width: Column, image_height: Col
     layout = F.col("__layout")
     black, white = rgb(17, 17, 17), rgb(255, 255, 255)
     height = image_height.cast("double")
+    usable = regions.where(F.trim(F.coalesce("translated", F.lit(""))) != "")
+    usable = with_pixel_box(usable, "box", "__own", image_width, image_height).where("__own is not null")
     boxed = (
-        regions.where(F.trim(F.coalesce("translated", F.lit(""))) != "")
-        .withColumn("__own", box_to_pixels(F.col("box"), image_width, image_height))
-        .where("__own is not null")
-        .withColumn("__found", box_to_pixels(F.col("layout_box"), image_width, image_height))
+        with_pixel_box(usable, "layout_box", "__found", image_width, image_height)
         .withColumn(
             "region_kind",
             F.when(F.col("region_kind").isin(*_KINDS), F.col("region_kind"))

@@ -124,6 +124,45 @@ SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '가 ' || text ELSE text END A
 FROM conversations"""
 
 
+def _uuid(value: str) -> str:
+    h = f"md5({value})"
+    return " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+
+
+_THREAD, _OTHER = _uuid("cast(user_id AS varchar(20))"), _uuid("cast(user_id + 7 AS varchar(20))")
+
+# run output of all kinds: events, nested ids, escaped and plain paths, noise
+VIEWS["v_run_lines"] = f"""
+SELECT event_id AS seq, user_id AS run_id,
+  CASE WHEN event_id % 12 IN (4, 9, 10) AND user_id % 7 <> 3 THEN 'stderr' ELSE 'stdout' END AS stream,
+  CASE WHEN user_id % 7 = 3 THEN 'plain   output ' || cast(event_id AS varchar(20)) ELSE CASE event_id % 12
+    WHEN 0 THEN '{{"type":"thread.started","thread_id":"' || {_THREAD} || '"}}'
+    WHEN 1 THEN '{{"type":"item.completed","item":{{"type":"agent_message","text":"saved C:' || chr(92) || chr(92) || 'gen' || chr(92) || chr(92) || {_THREAD}
+      || chr(92) || chr(92) || 'img' || cast(event_id % 7 AS varchar(20)) || '.png ok"}}}}'
+    WHEN 2 THEN '{{"type":"item.completed","item":{{"type":"command_execution","exit_code":2,"aggregated_output":"denied ' || cast(event_id % 3 AS varchar(20)) || '"}}}}'
+    WHEN 3 THEN '{{"type":"item.completed","item":{{"type":"command_execution","exit_code":0,"aggregated_output":"fine"}}}}'
+    WHEN 4 THEN 'warn  models cache   stale ' || cast(event_id % 4 AS varchar(20))
+    WHEN 5 THEN '{{"type":"turn.failed","error":{{"message":"boom ' || cast(event_id % 9 AS varchar(20)) || '"}}}}'
+    WHEN 6 THEN ' {{"type":"Error","message":"rate limit","item":{{"error":"inner","message":{{"detail":"deep"}}}}}}'
+    WHEN 7 THEN 'wrote D:' || chr(92) || 'other' || chr(92) || 'x' || cast(event_id % 3 AS varchar(20)) || '.JPG and c:/gen/y.webp'
+    WHEN 8 THEN CASE WHEN user_id % 11 = 0 THEN 'the safety filter chose to block this' ELSE '{{broken' END
+    WHEN 9 THEN 'trace ' || cast(event_id % 5 AS varchar(20))
+    WHEN 10 THEN CASE WHEN user_id % 5 = 0 THEN 'prompt_cache_retention is not supported on this model' ELSE '  ' END
+    ELSE '[{{"a":{{"threadId":"' || {_OTHER} || '"}}}},"x"]' END END AS line
+FROM events"""
+
+VIEWS["v_runs"] = """
+SELECT DISTINCT user_id AS run_id, CASE WHEN user_id % 6 = 0 THEN '' ELSE 'render ' || cast(user_id % 3 AS varchar(20)) END AS stage,
+  user_id % 4 AS exit_code, CASE WHEN user_id % 9 = 0 THEN 'spawn failed' ELSE '' END AS spawn_error,
+  user_id % 13 = 0 AS cancelled, user_id % 17 = 0 AS timed_out
+FROM events"""
+
+VIEWS["v_files"] = f"""
+SELECT DISTINCT 'C:' || chr(92) || 'gen' || chr(92) || {_THREAD} || chr(92) || 'img' || cast(event_id % 7 AS varchar(20)) || '.png' AS path,
+  event_id % 7 * 10 + user_id % 10 AS modified_at
+FROM events WHERE user_id % 3 <> 0 AND event_id % 7 < 4"""
+
+
 def view_text(name: str) -> str:
     return VIEWS[name].strip()
 

@@ -39,7 +39,7 @@ def pixel_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _plain_boxes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Translated regions with their pixel edges."""
     rows = view(spark, sf_dir, name).where("trim(translated) <> ''")
-    boxed = rows.withColumn("__box", g.box_to_pixels(_array("x0", "y0", "x1", "y1"), *_size()))
+    boxed = g.with_pixel_box(rows.withColumn("__values", _array("x0", "y0", "x1", "y1")), "__values", "__box", *_size())
     return boxed.where("__box is not null").select("image_id", "ord", "confidence", "__box.*")
 
 
@@ -81,12 +81,14 @@ def scan_model_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def box_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Box, font and colour rules over every styled region."""
-    rows = view(spark, sf_dir, "v_styled")
-    layout = F.when(F.col("has_layout"), _array("lx0", "ly0", "lx1", "ly1"))
-    unit, pixel = g.normalize_box(layout), g.box_to_pixels(layout, *_size())
+    layout = F.col("layout")
+    rows = view(spark, sf_dir, "v_styled").withColumn(
+        "layout", F.when(F.col("has_layout"), _array("lx0", "ly0", "lx1", "ly1"))
+    ).withColumn("own", _array("x0", "y0", "x1", "y1")).withColumn("unit", g.normalize_box(layout))
+    rows = g.with_pixel_box(g.with_pixel_box(rows, "layout", "pixel", *_size()), "own", "own_box", *_size())
+    unit, pixel, own = F.col("unit"), F.col("pixel"), F.col("own_box")
     crop = F.struct(F.lit(0.1).alias("left"), F.lit(0.2).alias("top"), F.lit(0.5).alias("width"), F.lit(0.25).alias("height"))
     anchor = g.map_to_anchor(layout, crop)
-    own = g.box_to_pixels(_array("x0", "y0", "x1", "y1"), *_size())
     both = g.union_box(own, pixel)
     text, ground = color.parse_hex(F.col("text_color"), color.rgb(17, 17, 17)), color.parse_hex(
         F.col("background_color"), color.rgb(255, 255, 255))
