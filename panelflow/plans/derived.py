@@ -124,6 +124,34 @@ SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '가 ' || text ELSE text END A
 FROM conversations"""
 
 
+# pages with image-bearing elements of every kind, also hidden in comments and scripts
+VIEWS["v_pages_rich"] = """
+SELECT page_id, url, html || CASE page_id % 10
+  WHEN 0 THEN '<img src="/a/' || cast(page_id AS varchar(20)) || '.png" width="640" height="360">'
+  WHEN 1 THEN '<IMG data-src=' || chr(39) || 'b.jpg' || chr(39) || ' width=60 height=30>'
+  WHEN 2 THEN '<img srcset="c.webp 1x, d.webp 2x" width="300" height="200">'
+  WHEN 3 THEN '<div style="background-image:url(e.png)"></div>'
+  WHEN 4 THEN '<img src="" data-original="//cdn.example.com/z.jpg" width="500" height="400"><canvas width="200" height="100"></canvas>'
+  WHEN 5 THEN '<!-- <img src="no.png"> --><span style="color:red; background: url(' || chr(39) || '../up/./f.png' || chr(39) || ')">x</span>'
+  WHEN 6 THEN '<svg width="120" height="80"></svg>'
+  WHEN 7 THEN '<img src="https://o.example.net/p.png?x=1&amp;y=2" width="120" height="80" style="display:none">'
+  WHEN 8 THEN '<script>document.write(' || chr(39) || '<img src="s.png">' || chr(39) || ')</script><img data-srcset="g.png 2x" width="121" height="79">'
+  ELSE '<img alt="none" width="900" height="900">' END AS html
+FROM pages"""
+
+# work requests with payloads, some not acceptable
+VIEWS["v_requests"] = """
+SELECT conv_id, turn, text, CASE turn % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' WHEN 3 THEN NULL ELSE 'image/webp' END AS mime,
+  CASE WHEN conv_id % 9 = 0 THEN text WHEN conv_id % 9 = 1 THEN '' WHEN conv_id % 9 = 2 THEN '====' ELSE substr(md5(text), 1, cast(4 * (1 + conv_id % 7) AS int)) || CASE conv_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'QQ==' ELSE 'QUE=' END END AS data,
+  CASE conv_id % 4 WHEN 0 THEN 'manual' WHEN 1 THEN 'automatic' ELSE NULL END AS review_mode,
+  conv_id % 5 = 0 AS skip, cast(conv_id % 8 AS double) / CASE WHEN conv_id % 6 = 0 THEN 4 ELSE 1 END AS attempts,
+  CASE conv_id % 3 WHEN 0 THEN 'codex-image' WHEN 1 THEN 'other' ELSE NULL END AS render,
+  CASE conv_id % 6 WHEN 0 THEN 'zip' WHEN 1 THEN 'img' WHEN 2 THEN '' ELSE role END AS element,
+  CASE conv_id % 7 WHEN 0 THEN 'canvas:' WHEN 1 THEN 'https://Img.Example.com/a%20b/' || cast(turn AS varchar(20)) || '.png?q=1' WHEN 2 THEN 'nothing here'
+    WHEN 3 THEN 'http://x.example.org' ELSE 'zip://pages/' || cast(turn AS varchar(20)) || '.png' END AS source_url
+FROM conversations"""
+
+
 def _uuid(value: str) -> str:
     h = f"md5({value})"
     return " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
