@@ -85,7 +85,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_entries(entries: DataFrame) -> DataFrame:
     """(archive, entry_index) -> their bytes; the entries decide the tasks, not the archives."""
-    wanted = entries.select("archive", "entry_index").repartition("archive", F.floor(F.col("entry_index") / 256))
+    wanted = entries.where("entry_index is not null").select("archive", "entry_index").repartition("archive", F.floor(F.col("entry_index") / 256))
     return wanted.sortWithinPartitions("archive", "entry_index").mapInPandas(
         _read, schema="archive string, entry_index bigint, data binary")
 
