@@ -28,10 +28,16 @@ def parse_progress(lines: DataFrame) -> DataFrame:
     )
 
 
-def attribute_source(events: DataFrame, block: Column | None = None) -> DataFrame:
-    """Give each line its task's last known source; lines before the first one are dropped."""
+def attribute_source(events: DataFrame, block: Column | None = None, before: DataFrame | None = None) -> DataFrame:
+    """Give each line its task's last known source; lines before the first one are dropped.
+
+    ``before`` holds sources known from earlier lines: (task_number, __before struct).
+    """
     known = F.when(F.col("source").isNotNull(), F.struct("source", "source_label"))
     filled = forward_fill(events, ["task_number"], "seq", known, "__known", block)
+    if before is not None:
+        filled = filled.join(before, "task_number", "left").withColumn(
+            "__known", F.coalesce("__known", "__before")).drop("__before")
     return (
         filled.where("__known is not null")
         .withColumn("source", F.col("__known.source"))
@@ -113,3 +119,13 @@ def pass_durations(events: DataFrame, block: Column | None = None) -> DataFrame:
         .agg(F.min("seq").alias("seq"), F.min_by("at", "seq").alias("end_at"), F.min("__begun.at").alias("start_at"))
     )
     return first.withColumn("elapsed", F.col("end_at") - F.col("start_at"))
+
+
+def overdue_passes(events: DataFrame, limit_seconds: int, now: Column, block: Column | None = None) -> DataFrame:
+    """Passes (see :func:`pass_durations`) that took longer than the limit or are still
+    running at ``now`` beyond it; ``ended`` is null for the latter."""
+    starts = events.where("phase = 'start'").select(
+        "task_number", "label", F.col("seq").alias("start_seq"), F.col("at").alias("start_at"))
+    done = pass_durations(events, block).select("task_number", "label", "start_seq", F.col("end_at").alias("ended"))
+    rows = starts.join(done, ["task_number", "label", "start_seq"], "left")
+    return rows.where(F.coalesce("ended", now) - F.col("start_at") > limit_seconds)

@@ -63,15 +63,25 @@ def slot_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pass_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("event_type in ('view', 'click')").select(
+def _passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where("event_type in ('view', 'click')").select(
         F.col("user_id").alias("task_number"),
         F.concat(F.lit("pass "), (F.col("event_id") % 3).cast("string")).alias("label"),
         F.col("event_id").alias("seq"),
         F.when(F.col("event_type") == "view", "start").otherwise("complete").alias("phase"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"),
     )
-    return s.pass_durations(events).select("task_number", "label", "start_seq", "seq", "elapsed")
+
+
+def pass_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.pass_durations(_passes(spark, sf_dir)).select("task_number", "label", "start_seq", "seq", "elapsed")
+
+
+def overdue_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passes beyond two days, at the end of the table's month."""
+    now = F.unix_seconds(F.lit("2024-01-31").cast("timestamp"))
+    rows = s.overdue_passes(_passes(spark, sf_dir), 2 * 86400, now)
+    return rows.select("task_number", "label", "start_seq", F.col("ended").isNull().alias("running"))
 
 
 def _rules_sql() -> str:
@@ -136,6 +146,14 @@ latest AS (
   FROM ranked r LEFT JOIN names USING (row_key) WHERE rn = 1
 )"""
 
+_PASSES = """
+WITH e AS (
+  SELECT user_id AS task_number, 'pass ' || (event_id % 3) AS label, event_id AS seq, event_type,
+    CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM events WHERE event_type IN ('view', 'click')),
+n AS (SELECT *, lead(event_type) OVER w AS next_type, lead(seq) OVER w AS next_seq, lead(at_s) OVER w AS next_at
+  FROM e WINDOW w AS (PARTITION BY task_number, label ORDER BY seq))
+"""
+
 QUERIES = {
     "parse_log_lines": parse_log_lines,
     "attributed_sources": attributed_sources,
@@ -144,6 +162,7 @@ QUERIES = {
     "status_actions": status_actions,
     "slot_usage": slot_usage,
     "pass_durations": pass_durations,
+    "overdue_passes": overdue_passes,
 }
 
 ORACLES = {
@@ -175,12 +194,10 @@ SELECT server, CAST(max(least(demand, 6)) AS BIGINT) AS peak_running,
   CAST(max(demand - least(demand, 6)) AS BIGINT) AS peak_waiting,
   CAST(sum(demand - least(demand, 6)) AS BIGINT) AS total_waiting, count(*) FILTER (demand > 6) AS n_queued
 FROM run GROUP BY server""",
-    "pass_durations": """
-WITH e AS (
-  SELECT user_id AS task_number, 'pass ' || (event_id % 3) AS label, event_id AS seq, event_type,
-    CAST(floor(epoch(ts)) AS BIGINT) AS at_s FROM events WHERE event_type IN ('view', 'click')),
-n AS (SELECT *, lead(event_type) OVER w AS next_type, lead(seq) OVER w AS next_seq, lead(at_s) OVER w AS next_at
-  FROM e WINDOW w AS (PARTITION BY task_number, label ORDER BY seq))
+    "pass_durations": _PASSES + """
 SELECT task_number, label, seq AS start_seq, next_seq AS seq, next_at - at_s AS elapsed
 FROM n WHERE event_type = 'view' AND next_type = 'click'""",
+    "overdue_passes": _PASSES + """
+SELECT task_number, label, seq AS start_seq, next_type IS DISTINCT FROM 'click' AS running FROM n
+WHERE event_type = 'view' AND coalesce(CASE WHEN next_type = 'click' THEN next_at END, epoch(TIMESTAMP '2024-01-31')::BIGINT) - at_s > 172800""",
 }

@@ -16,8 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from panelflow.functions import progress as p
-from panelflow.operators.status import latest_status, parse_progress
 from panelflow.operators.archives import acknowledgement_lines
+from panelflow.operators.status import attribute_source, latest_status, parse_progress
 from panelflow.session import scratch_path
 
 DEFAULT_DELAY = "10 minutes"
@@ -54,6 +54,9 @@ class TaskSource(StatefulProcessor):
 
     Lines before a task's first source are dropped, as in the batch job. A pass whose
     limit runs out in event time without an end gives one extra row with ``timed_out``.
+    What one call holds is one task's lines of one trigger, which the source's
+    ``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` bounds; for the status table itself use
+    :func:`live_status`, which has no such group.
     """
 
     def __init__(self, limit_seconds: int = PASS_LIMIT):
@@ -114,30 +117,55 @@ def attributed_stream(progress: DataFrame, limit_seconds: int = PASS_LIMIT) -> D
 
 
 class StatusTable:
-    """Live status: every micro-batch writes its latest rows as one part of the table.
+    """Live status kept by plain micro-batches, without keyed state.
 
-    A part is named after its batch, so a repeated batch overwrites itself; reading takes
-    the latest row per key over all parts. :meth:`compact` folds the parts into one.
+    Every batch writes two small parts named after it, so a repeated batch overwrites
+    itself: the latest row per key, and the last source per task. A batch attributes its
+    lines set-based (a hot task is split into blocks like in the batch job) and falls back
+    to the sources of the batches before. :meth:`compact` folds the parts together.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, block: Column | None = None):
+        self.path, self.block = path, block
+
+    def _sources(self, spark, before: int) -> DataFrame | None:
+        path = f"{self.path}/sources"
+        if before == 0 or not _exists(spark, path):
+            return None
+        parts = spark.read.parquet(path).where(F.col("batch") < before)
+        return parts.groupBy("task_number").agg(F.max_by(F.struct("source", "source_label"), "seq").alias("__before"))
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        latest_status(batch.where("seq is not null")).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        batch = batch.select("seq", "time", "task_number", "image_number", "detail", "stage", "state", "terminal", "source", "source_label")
+        batch.persist()
+        attributed = attribute_source(batch, self.block, self._sources(batch.sparkSession, batch_id))
+        latest_status(attributed).write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch_id}")
+        batch.where("source is not null").groupBy("task_number").agg(
+            F.max_by(F.struct("source", "source_label"), "seq").alias("__s"), F.max("seq").alias("seq")).select(
+            "task_number", "seq", "__s.*").write.mode("overwrite").parquet(f"{self.path}/sources/batch={batch_id}")
+        batch.unpersist()
 
     def read(self, spark, skips: DataFrame | None = None) -> DataFrame:
-        return latest_status(spark.read.parquet(self.path).drop("batch"), skips)
+        return latest_status(spark.read.parquet(f"{self.path}/rows").drop("batch"), skips)
 
     def compact(self, spark, path: str) -> "StatusTable":
-        self.read(spark).write.parquet(f"{path}/batch=-1")
-        return StatusTable(path)
+        """The same table as a single part at ``path``, for a stream stopped after its last batch."""
+        self.read(spark).write.parquet(f"{path}/rows/batch=-1")
+        sources = spark.read.parquet(f"{self.path}/sources").groupBy("task_number").agg(
+            F.max_by(F.struct("source", "source_label"), "seq").alias("__s"), F.max("seq").alias("seq"))
+        sources.select("task_number", "seq", "__s.*").write.parquet(f"{path}/sources/batch=-1")
+        return StatusTable(path, self.block)
+
+
+def _exists(spark, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def live_status(progress: DataFrame, table: StatusTable, checkpoint: str, limit_seconds: int = PASS_LIMIT, **trigger) -> StreamingQuery:
-    """Start keeping ``table`` up to date from the progress stream."""
+def live_status(progress: DataFrame, table: StatusTable, checkpoint: str, **trigger) -> StreamingQuery:
+    """Start keeping ``table`` up to date from the stream of :func:`progress_stream`."""
     return (
-        attributed_stream(progress, limit_seconds).writeStream.outputMode("append").foreachBatch(table.write)
+        progress.writeStream.outputMode("append").foreachBatch(table.write)
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
     )
 
@@ -189,9 +217,9 @@ def acknowledged_stream(requests: DataFrame, acks: DataFrame, delay: str = DEFAU
     ).select("r.request_id", "r.requested_at", "a.acked_at", "a.success", "a.message")
 
 
-def run_live_status(progress: DataFrame, limit_seconds: int = PASS_LIMIT, skips: DataFrame | None = None) -> DataFrame:
+def run_live_status(progress: DataFrame, skips: DataFrame | None = None, block: Column | None = None) -> DataFrame:
     """Process everything available into a fresh status table and return its content."""
     spark = progress.sparkSession
-    table = StatusTable(scratch_path(spark, "status"))
-    live_status(progress, table, scratch_path(spark, "status-checkpoint"), limit_seconds).awaitTermination()
+    table = StatusTable(scratch_path(spark, "status"), block)
+    live_status(progress, table, scratch_path(spark, "status-checkpoint")).awaitTermination()
     return table.read(spark, skips)
