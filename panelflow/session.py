@@ -43,9 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    created = tempfile.mkdtemp(prefix="panelflow-")
-    spark.conf.set("spark.checkpoint.dir", created)
-    return created
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="panelflow-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
