@@ -50,7 +50,7 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                          e.comment, e.extra, e.create_system, archive.comment, None)
                         for i, e in enumerate(archive.infolist())
                     ]
-            except zipfile.BadZipFile as error:
+            except (zipfile.BadZipFile, ValueError) as error:  # also what a too short file raises
                 rows = [(path, None, None, None, None, None, None, None, None, None, None, None, f"not a zip: {error}")]
             for start in range(0, len(rows), 10_000):
                 yield pd.DataFrame(rows[start:start + 10_000], columns=columns)
