@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelflow.session import spread
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -210,10 +212,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The derived view ``name`` over the tables in ``sf_dir``."""
+def view(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """The derived view ``name`` over the tables in ``sf_dir``; ``heavy`` spreads small scans over all cores."""
     text = view_text(name).replace("{", "{{").replace("}", "}}")
     used = sorted({t for t in TABLES if re.search(rf"\bFROM {t}\b", text)})
     for t in used:
         text = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", text)
-    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
+    sources = {t: table(spark, sf_dir, t) for t in used}
+    return spark.sql(text, **{t: spread(df) if heavy else df for t, df in sources.items()})

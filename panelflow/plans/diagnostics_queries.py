@@ -13,7 +13,7 @@ ROOT = "C:/gen"
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "v_run_lines")
+    return view(spark, sf_dir, "v_run_lines", heavy=True)
 
 
 def run_events(spark: SparkSession, sf_dir: str) -> DataFrame:

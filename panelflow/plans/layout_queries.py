@@ -82,19 +82,19 @@ def crop_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wrap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "v_captions")
+    rows = view(spark, sf_dir, "v_captions", heavy=True)
     return rows.select("conv_id", "turn", F.posexplode(t.wrap_text(F.col("translated"), F.lit(WRAP_LIMIT))).alias("n", "line")) \
         .select("conv_id", "turn", (F.col("n") + 1).cast("bigint").alias("line_no"), "line")
 
 
 def fit_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = cap.fit_captions(view(spark, sf_dir, "v_captions"))
+    rows = cap.fit_captions(view(spark, sf_dir, "v_captions", heavy=True))
     return rows.select("conv_id", "turn", "render", F.round("size", 6).alias("size"),
                        F.size("lines").cast("bigint").alias("n_lines"), "overflow")
 
 
 def caption_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = cap.overflow_rates(cap.fit_captions(view(spark, sf_dir, "v_captions")))
+    rates = cap.overflow_rates(cap.fit_captions(view(spark, sf_dir, "v_captions", heavy=True)))
     return rates.select("region_kind", "n_captions", "n_overflow", F.round("overflow_rate", 6).alias("overflow_rate"),
                         F.round("mean_size", 6).alias("mean_size"))
 

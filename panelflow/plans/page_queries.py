@@ -11,7 +11,7 @@ from panelflow.plans.derived import table, view, with_views
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.harvest_images(view(spark, sf_dir, "v_pages_rich"))
+    return p.harvest_images(view(spark, sf_dir, "v_pages_rich", heavy=True))
 
 
 def harvest_images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ _HEADERS = ("", "text/html; charset=utf-8", "IMAGE/AVIF", " image/svg+xml ;q=1",
 
 
 def admit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "v_requests").withColumn(
+    rows = view(spark, sf_dir, "v_requests", heavy=True).withColumn(
         "plan", media.review_plan(F.col("review_mode"), F.col("skip"), F.col("attempts")))
     return rows.select(
         "conv_id", "turn", media.reject_reason(F.col("mime"), F.col("data")).alias("reason"),
@@ -91,7 +91,7 @@ def admit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def data_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "v_requests").withColumn(
+    rows = view(spark, sf_dir, "v_requests", heavy=True).withColumn(
         "url", F.concat(F.lit("data:"), F.coalesce("mime", F.lit("image/png;v=1")), F.lit(";base64,"), "data"))
     parsed = media.parse_data_url(F.col("url"))
     return rows.select("conv_id", "turn", parsed["mime"].alias("mime"), F.length(parsed["data"]).cast("bigint").alias("n_data"))

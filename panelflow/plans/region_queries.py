@@ -44,7 +44,7 @@ def _plain_boxes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scan_model_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, _ = scan_regions(view(spark, sf_dir, "v_answers"))
+    good, _ = scan_regions(view(spark, sf_dir, "v_answers", heavy=True))
     return good.select(
         "image_id", "n", "ord", F.array_join(F.col("box").cast("array<string>"), ",").alias("box"), "original",
         "confidence", "region_kind", "font_size", "rotation", "bold", "background_complex", "has_confidence",
@@ -52,7 +52,7 @@ def scan_model_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quarantined_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, bad = scan_regions(view(spark, sf_dir, "v_answers"))
+    _, bad = scan_regions(view(spark, sf_dir, "v_answers", heavy=True))
     return bad.select("image_id", "n", "ord", F.array_join("violations", ",").alias("violations"))
 
 

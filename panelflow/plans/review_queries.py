@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelflow.functions import media, prompts, values as v
 from panelflow.operators import review as r
 from panelflow.plans.derived import table, view, with_views
+from panelflow.session import spread
 
 
 def _regions(conv: Column, turn: Column, shift: int = 0) -> Column:
@@ -31,7 +32,7 @@ def _regions(conv: Column, turn: Column, shift: int = 0) -> Column:
 
 
 def _work(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "v_requests")
+    rows = view(spark, sf_dir, "v_requests", heavy=True)
     plan = media.review_plan(F.col("review_mode"), F.col("skip"), F.col("attempts"))
     return rows.select(
         (F.col("conv_id") * 10 + F.col("turn")).alias("work_id"), F.md5("text").alias("content_hash"),
@@ -63,7 +64,7 @@ def cache_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audited_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The optional audit pass: its regions, or those before where it failed or never ran."""
-    rows = view(spark, sf_dir, "v_requests").withColumn("work_id", F.col("conv_id") * 10 + F.col("turn"))
+    rows = view(spark, sf_dir, "v_requests", heavy=True).withColumn("work_id", F.col("conv_id") * 10 + F.col("turn"))
     first = rows.select("work_id", _regions(F.col("conv_id"), F.col("turn")).alias("regions"))
     audit = rows.where("conv_id % 4 <> 1").select(
         "work_id", _regions(F.col("conv_id"), F.col("turn"), 2).alias("regions"),
@@ -77,13 +78,13 @@ def lexicon_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document translated word by word with a lexicon made from the benchmark texts."""
     lexicon = table(spark, sf_dir, "benchmark").select(F.explode(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != "")).alias("token")).distinct().withColumn(
         "target", F.concat(F.lit("k-"), "token"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("original"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("original"))
     return r.LexiconTranslator(lexicon).translate(docs).select(
         "doc_id", F.md5("translated").alias("digest"), F.length("translated").cast("bigint").alias("n_chars"), "error")
 
 
 def manual_review_round(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "v_requests")
+    rows = view(spark, sf_dir, "v_requests", heavy=True)
     image = [F.col("conv_id").alias("archive"), F.col("turn").alias("image_number")]
     status = rows.select(*image, F.when(F.col("conv_id") % 5 == 0, "web").otherwise("zip").alias("source"),
                          F.when(F.col("turn") % 2 == 0, "review").otherwise("done").alias("state"), (F.col("conv_id") % 7 == 0).alias("review_queued"))
@@ -95,7 +96,7 @@ def manual_review_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "v_requests").withColumn("regions", _regions(F.col("conv_id"), F.col("turn")))
+    rows = view(spark, sf_dir, "v_requests", heavy=True).withColumn("regions", _regions(F.col("conv_id"), F.col("turn")))
     small = F.transform("regions", lambda x: F.struct(x["original"], x["translated"]))
     manual = F.coalesce(F.col("review_mode") == "manual", F.lit(False))
     issues = F.when(F.col("turn") % 2 == 0, F.array(F.concat(F.lit("fix  "), "role_text"), F.lit("")))

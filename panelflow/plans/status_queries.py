@@ -11,11 +11,11 @@ from panelflow.plans.derived import table, view, with_views
 
 
 def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.attribute_source(s.parse_progress(view(spark, sf_dir, "v_log_lines").select("seq", "line")))
+    return s.attribute_source(s.parse_progress(view(spark, sf_dir, "v_log_lines", heavy=True).select("seq", "line")))
 
 
 def parse_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.parse_progress(view(spark, sf_dir, "v_log_lines").select("seq", "line"))
+    return s.parse_progress(view(spark, sf_dir, "v_log_lines", heavy=True).select("seq", "line"))
 
 
 def attributed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,3 +74,13 @@ def discard(df: DataFrame) -> None:
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` has at most ``rows`` rows; never counts further than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a plain table scan at least as many partitions as there are cores.
+
+    Only for scans feeding heavy per-row work: a table of few large row groups would
+    otherwise keep most cores idle. A scan that already has enough is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
