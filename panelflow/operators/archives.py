@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelflow.functions.text import natural_key
 from panelflow.operators.ordered import block_of, numbered
 
 # What counts as an image, and the wording of outcomes.
@@ -31,6 +32,19 @@ def number_images(entries: DataFrame, key: str = "archive", block: Column | None
     return numbered(images, [key], ["entry_index"], "image_number", block_of("entry_index") if block is None else block)
 
 
+def natural_positions(rows: DataFrame, keys: list[str], label: str, tie: str, out: str = "position") -> DataFrame:
+    """Number rows per key in natural order of ``label``.
+
+    Cut into blocks by the first characters of the leading text, so one large key does
+    not have to be sorted by a single task.
+    """
+    lead = F.lower(F.regexp_extract(label, r"^\D*", 0))
+    block = F.lit(0).cast("bigint")
+    for i in (1, 2, 3):
+        block = block * 0x10000 + F.coalesce(F.ascii(F.substring(lead, i, 1)), F.lit(0)).cast("bigint")
+    return numbered(rows, keys, [natural_key(F.col(label)), tie], out, block)
+
+
 def archives_without_images(entries: DataFrame, key: str = "archive") -> DataFrame:
     is_dir = F.col("is_dir") if "is_dir" in entries.columns else F.col("name").endswith("/")
     return entries.groupBy(key).agg(F.count_if(is_image(F.col("name"), is_dir)).alias("n")).where("n = 0").select(

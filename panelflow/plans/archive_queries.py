@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelflow.functions import text as t
@@ -82,9 +82,8 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank of each part name in natural order inside its brand, and output names."""
     label = F.concat(F.col("p_name"), F.lit(" "), (F.col("p_partkey") % 1000).cast("string"), F.lit("-"), F.col("p_size").cast("string"))
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.upper(label).alias("label"))
-    rank = Window.partitionBy("p_brand").orderBy(t.natural_key(F.col("label")), "p_partkey")
-    return rows.select(
-        "p_partkey", F.row_number().over(rank).cast("bigint").alias("position"),
+    return a.natural_positions(rows, ["p_brand"], "label", "p_partkey").select(
+        "p_partkey", "position",
         t.output_name(F.concat(F.lit("a.b/"), "label", F.lit(".v1.zip"))).alias("output_name"),
         t.number_key(F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("#"), "p_partkey")).otherwise(F.col("label"))).alias("number_key"))
 

@@ -174,6 +174,48 @@ candidates AS (
     CAST(least(1000, r + px) AS BIGINT) AS "right", CAST(least(1400, b + py) AS BIGINT) AS bottom FROM padded
 )"""
 
+# Grouping as single steps: look at one group, from the newest backwards, or push and
+# take the next candidate.
+_GROUPS = _CANDIDATES.replace("WITH content", "WITH RECURSIVE content", 1) + """,
+cand AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY ord) AS k FROM candidates),
+step AS (
+  SELECT image_id, k, 0::BIGINT AS i, ord AS newest, {'l': "left", 't': top, 'r': "right", 'b': bottom} AS m, [ord] AS mem,
+    []::STRUCT(newest BIGINT, m STRUCT(l BIGINT, t BIGINT, r BIGINT, b BIGINT), mem BIGINT[])[] AS groups
+  FROM cand WHERE k = 1
+  UNION ALL
+  SELECT image_id, CASE WHEN i > 0 THEN k ELSE k + 1 END, CASE WHEN i > 0 THEN i - 1 ELSE len(groups) + 1 END,
+    CASE WHEN i > 0 THEN newest ELSE n_ord END,
+    CASE WHEN i = 0 THEN n_m WHEN joins THEN u ELSE m END,
+    CASE WHEN i = 0 THEN [n_ord] WHEN joins THEN list_concat(groups[i].mem, mem) ELSE mem END,
+    CASE WHEN i = 0 THEN list_append(groups, {'newest': newest, 'm': m, 'mem': mem}) WHEN joins THEN list_concat(groups[1:i - 1], groups[i + 1:]) ELSE groups END
+  FROM (
+    SELECT *, meets AND len(mem) + len(groups[i].mem) <= 3 AND u.r - u.l <= 1000 * 0.48::DOUBLE AND u.b - u.t <= 1400 * 0.38::DOUBLE
+      AND (u.r - u.l) * (u.b - u.t) <= 1000 * 1400 * 0.16::DOUBLE AS joins
+    FROM (
+      SELECT s.*, c.ord AS n_ord, CASE WHEN c.ord IS NOT NULL THEN {'l': c."left", 't': c.top, 'r': c."right", 'b': c.bottom} END AS n_m,
+        coalesce(m.l < groups[i].m.r AND m.r > groups[i].m.l AND m.t < groups[i].m.b AND m.b > groups[i].m.t, FALSE) AS meets,
+        {'l': least(m.l, groups[i].m.l), 't': least(m.t, groups[i].m.t), 'r': greatest(m.r, groups[i].m.r), 'b': greatest(m.b, groups[i].m.b)} AS u
+      FROM step s LEFT JOIN cand c ON s.i = 0 AND c.image_id = s.image_id AND c.k = s.k + 1
+      WHERE s.m IS NOT NULL
+    ) a
+  ) b
+),
+grouped AS (SELECT image_id, unnest(groups) AS g FROM step WHERE m IS NULL),
+crops AS (
+  SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY g.m.t, g.m.l, g.newest) AS crop_index, g.m.l AS l, g.m.t AS t, g.m.r AS r, g.m.b AS b, g.mem AS mem
+  FROM grouped
+)"""
+
+
+def _in_crop(value: str, side: int, start: str, extent: str) -> str:
+    return (f"printf('%.1f', floor(least(1000, greatest(0, (({value})::DOUBLE / 1000 * {side} - {start}) / {extent} * 1000)) * 10 + 0.5) / 10)")
+
+
+def _box_in_crop(x0: str, y0: str, x1: str, y1: str) -> str:
+    return " || ',' || ".join([_in_crop(x0, 1000, "l", "(r - l)"), _in_crop(y0, 1400, "t", "(b - t)"),
+                               _in_crop(x1, 1000, "l", "(r - l)"), _in_crop(y1, 1400, "t", "(b - t)")])
+
+
 _CLOSING = t.CLOSING
 
 
@@ -292,6 +334,14 @@ QUERIES = {
 
 ORACLES = {
     "crop_candidates": with_views(_CANDIDATES + ' SELECT * FROM candidates', "v_styled"),
+    "plan_crops": _recursive(_GROUPS + """
+SELECT image_id, crop_index, l AS "left", t AS top, r AS "right", b AS bottom, array_to_string(mem, ',') AS members FROM crops""", "v_styled"),
+    "crop_regions": _recursive(_GROUPS + f"""
+SELECT c.image_id, crop_index, (position - 1)::INT AS position, c.ord, {_box_in_crop('x0', 'y0', 'x1', 'y1')} AS box,
+  CASE WHEN has_layout THEN {_box_in_crop('lx0', 'ly0', 'lx1', 'ly1')} END AS layout_box,
+  floor(least(1000, coalesce(font_size, 0) * (1400::DOUBLE / (b - t))) * 10 + 0.5) / 10 AS font_size,
+  floor(least(1000, stroke_width * (1400::DOUBLE / (b - t))) * 10 + 0.5) / 10 AS stroke_width
+FROM (SELECT *, unnest(mem) AS ord, generate_subscripts(mem, 1) AS position FROM crops) c JOIN v_styled s ON s.image_id = c.image_id AND s.ord = c.ord""", "v_styled"),
     "pack_batches": _recursive(_PACK + " SELECT page, crop_index, batch, position FROM pack", "v_crops"),
     "batch_tiles": _recursive(_TILES + " SELECT * FROM tiles", "v_crops"),
     "sheet_regions": _recursive(_TILES + f"""

@@ -181,15 +181,21 @@ class OrderedRelease(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", "entry_index bigint", "name string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for row in batch.itertuples(index=False):
-                self.waiting.updateValue((int(row.entry_index),), (row.name,))
+        # only what has to wait longer goes into the state; in-order arrivals pass through
+        arrived = {int(i): name for batch in rows for i, name in zip(batch["entry_index"], batch["name"])}
         index = self.next.get()[0] if self.next.exists() else 0
         out = []
-        while self.waiting.containsKey((index,)):
-            out.append((key[0], index, self.waiting.getValue((index,))[0]))
-            self.waiting.removeKey((index,))
+        while True:
+            if index in arrived:
+                out.append((key[0], index, arrived.pop(index)))
+            elif self.waiting.containsKey((index,)):
+                out.append((key[0], index, self.waiting.getValue((index,))[0]))
+                self.waiting.removeKey((index,))
+            else:
+                break
             index += 1
+        for later, name in arrived.items():
+            self.waiting.updateValue((later,), (name,))
         self.next.update((index,))
         yield pd.DataFrame(out, columns=["archive", "entry_index", "name"])
 
