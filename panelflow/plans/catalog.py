@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("status_queries", "region_queries", "layout_queries", "diagnostics_queries", "page_queries", "archive_queries", "review_queries", "raster_queries", "stream_queries")
+MODULES = ("status_queries", "region_queries", "layout_queries", "diagnostics_queries", "page_queries", "archive_queries", "review_queries", "raster_queries", "stream_queries", "job_queries")
 
 
 def _collect(attribute: str) -> dict:
