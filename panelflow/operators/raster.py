@@ -25,23 +25,25 @@ LINE_BIN = 64
 
 # ---------------------------------------------------------------------- tiles
 
-def _grid(sizes: DataFrame) -> DataFrame:
+def _grid(sizes: DataFrame, *keep: str) -> DataFrame:
     columns = F.when(F.col("width") >= F.col("height"), 3).otherwise(2)
     return sizes.select(
-        "image_id", "width", "height", columns.alias("columns"),
+        "image_id", *keep, "width", "height", columns.alias("columns"),
         F.greatest(F.lit(2), F.ceil(F.col("height") / F.greatest(F.lit(1.0), F.col("width") / columns))).cast("int").alias("rows"),
     )
 
 
-def tile_stats(pixels: DataFrame, sizes: DataFrame) -> DataFrame:
+def tile_stats(pixels: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Per tile: dark, bright and bright/not-bright transition ratios inside the tile.
 
+    Pixels that carry their page's ``width`` and ``height`` need no ``sizes`` and no join.
+
     A bright pixel next to a pixel of its own tile is a transition unless both are bright,
     so transitions = neighbours of bright pixels - 2 x bright neighbour pairs: the whole
     picture is only summed up, and just bright pixels are ordered along their lines.
     """
-    grid = _grid(sizes)
-    placed = pixels.join(grid, "image_id").select(
+    gridded = _grid(pixels, "y", "x", "v") if sizes is None else pixels.join(_grid(sizes), "image_id")
+    placed = gridded.select(
         "image_id", "y", "x", "v", "width", "height", "columns", "rows",
         F.floor(((F.col("x") + 1) * F.col("columns") - 1) / F.col("width")).cast("int").alias("column"),
         F.floor(((F.col("y") + 1) * F.col("rows") - 1) / F.col("height")).cast("int").alias("row"),

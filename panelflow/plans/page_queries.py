@@ -53,7 +53,7 @@ def _process(shown: DataFrame) -> DataFrame:
 
 def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three rounds over candidates that appear one after the other, then the summary."""
-    rows = _candidates(spark, sf_dir).withColumn("appears", F.when(F.col("element") == "canvas", 1).otherwise(0)).where("page_id % 10 <> 3")
+    rows = _candidates(spark, sf_dir).withColumn("appears", F.when(F.col("element") == "canvas", 1).otherwise(0))
     late = rows.withColumn("source_url", F.concat("source_url", F.lit("#late"))).withColumn("appears", F.lit(2))
     later = rows.withColumn("source_url", F.concat("source_url", F.lit("#later"))).withColumn("appears", F.lit(3))
     return p.page_summary(p.rescan_rounds(rows.unionByName(late).unionByName(later), _process))
@@ -155,8 +155,8 @@ WHERE big AND shown AND page_id % 30 <> 0 AND NOT (page_id % 20 = 4 AND element
 SELECT page_id AS request_id, page_id, source_url AS url, element FROM found WHERE element IN ('canvas', 'svg')""", "v_pages_rich"),
     "page_summary": with_views(_HARVEST + """,
 shown_in AS (
-  SELECT page_id, big, CASE element WHEN 'canvas' THEN 1 ELSE 0 END AS r FROM found WHERE page_id % 10 <> 3
-  UNION ALL SELECT page_id, big, 2 FROM found WHERE page_id % 10 <> 3
+  SELECT page_id, big, CASE element WHEN 'canvas' THEN 1 ELSE 0 END AS r FROM found
+  UNION ALL SELECT page_id, big, 2 FROM found
 ),
 outcome AS (
   SELECT page_id, r, NOT big AS small, CASE WHEN big AND page_id % 7 = 1 THEN 'Failed to fetch' WHEN big AND page_id % 7 = 2 THEN 'bad picture' END AS error,

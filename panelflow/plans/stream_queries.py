@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,12 +31,26 @@ def live_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.run_live_status(s.progress_stream(_lines(spark, sf_dir)))
 
 
+@contextmanager
+def _state_partitions(spark: SparkSession):
+    """State partitions are fixed when a stream first starts: no more than cores for a one-off run."""
+    name, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(name)
+    if before.isdigit() and int(before) > cores:
+        spark.conf.set(name, str(cores))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _run(frame: DataFrame, label: str) -> DataFrame:
     """Everything available, appended to a fresh table."""
     spark = frame.sparkSession
     path = scratch_path(spark, label)
-    frame.writeStream.format("parquet").outputMode("append").option("path", path).option(
-        "checkpointLocation", scratch_path(spark, f"{label}-checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    with _state_partitions(spark):
+        frame.writeStream.format("parquet").outputMode("append").option("path", path).option(
+            "checkpointLocation", scratch_path(spark, f"{label}-checkpoint")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(frame.schema).parquet(path)
 
 

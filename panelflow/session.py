@@ -47,8 +47,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "panelflow", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_dir(spark), "panelflow", f"{label}-{uuid.uuid4().hex}")
+    """A new path for an intermediate table of this application."""
+    return os.path.join(_scratch_root(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def discard_scratch(spark: SparkSession) -> None:
+    """Drop every intermediate table of this application, once its results are written."""
+    _delete(spark, _scratch_root(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -64,11 +79,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Drop the files of a table made by :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in {os.path.dirname(name) for name in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(hadoop).delete(target, True)
+        _delete(df.sparkSession, folder)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -1,5 +1,6 @@
 """python tests/check.py [sf] [name ...]: compare registered queries with their SQL twins."""
 
+import os
 import pathlib
 import sys
 import tempfile
@@ -15,7 +16,7 @@ from panelflow.session import build_session  # noqa: E402
 
 def main(sf="0.001", *names):
     spark = build_session("check", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g",
+        "spark.sql.shuffle.partitions": os.environ.get("CHECK_PARTITIONS", "8"), "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g",
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="ckpt-")})
     spark.sparkContext.setLogLevel("ERROR")
     sf_dir = f"/root/testdata/sf{sf}"

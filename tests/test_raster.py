@@ -32,7 +32,10 @@ def test_tile_stats_match_counting(spark):
     w, h = 31, 23
     grid = [[rng.choice([0, 100, 255]) for _ in range(w)] for _ in range(h)]
     df = spark.createDataFrame([(1, y, x, grid[y][x]) for y in range(h) for x in range(w)], "image_id bigint, y bigint, x bigint, v int")
-    for t in r.tile_stats(df, size(spark, w, h)).collect():
+    carried = df.withColumn("width", F.lit(w)).withColumn("height", F.lit(h))
+    stats = r.tile_stats(df, size(spark, w, h)).collect()
+    assert sorted(stats) == sorted(r.tile_stats(carried).collect()) and len(stats) == 9
+    for t in stats:
         cells = [(y, x) for y in range(t.top, t.bottom) for x in range(t.left, t.right)]
         steps = [(grid[y][x] > 205) != (grid[y][x - 1] > 205) for y, x in cells if x > t.left] + [(grid[y][x] > 205) != (grid[y - 1][x] > 205) for y, x in cells if y > t.top]
         assert abs(t.dark_ratio - sum(grid[y][x] < 50 for y, x in cells) / len(cells)) < 1e-12
