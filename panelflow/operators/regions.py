@@ -178,7 +178,8 @@ def overlap_report(regions: DataFrame, key: str = "image_id") -> DataFrame:
 
     Equal boxes are counted before anything is joined, so copies never multiply.
     """
-    boxes = regions.groupBy(key, *EDGES).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("cell"))
+    boxes = materialize(
+        regions.groupBy(key, *EDGES).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("cell")), "boxes")
     ranged = boxes.select(
         key, "cell", *[F.col(e).cast("double").alias(f"{e}_{m}") for e in EDGES for m in ("min", "max")]
     )
