@@ -165,7 +165,7 @@ def _px(alias: str, x0: str, y0: str, x1: str, y1: str, where: str = "TRUE") ->
     return f"CASE WHEN {where} AND {big} THEN {{{fields}}} END AS {alias}"
 
 
-def _unit_box(alias: str, c: str = "v") -> str:
+def _unit_box(alias: str) -> str:
     return f"""CASE WHEN has_layout AND abs(cl(lx1) - cl(lx0)) >= 2 AND abs(cl(ly1) - cl(ly0)) >= 2
   THEN {{'left': least(cl(lx0), cl(lx1)), 'top': least(cl(ly0), cl(ly1)), 'right': greatest(cl(lx0), cl(lx1)),
     'bottom': greatest(cl(ly0), cl(ly1))}} END AS {alias}""".replace("cl(", "least(1000.0::DOUBLE, greatest(0.0::DOUBLE, ").replace(

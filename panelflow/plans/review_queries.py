@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelflow.functions import media, prompts, values as v
+from panelflow.functions import media, prompts
 from panelflow.operators import review as r
 from panelflow.plans.derived import table, view, with_views
 from panelflow.session import spread
