@@ -6,9 +6,12 @@ return the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from panelflow.llm.bpe import encode
 from panelflow.llm.exact_dedup import drop_exact_duplicates
+from panelflow.llm.mixing import mixed_documents
 from panelflow.llm.quality import drop_low_quality
 from panelflow.llm.simhash import drop_near_duplicates
 from panelflow.session import materialize
@@ -29,7 +32,19 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_near_duplicates(docs)
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: documents left out, taken once or taken again."""
+    return mixed_documents(docs, length="n_chars")
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token identifiers of every document of the mix, and digests of them and of the decoded text."""
+    return encode(docs, public_tokenizers.path("word_bpe_49k.json"), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("BPE", encoded),
+]
 
 #: SQL cannot express the SimHash and tokeniser stages; tests compare the run with a brute-force version.
 ORACLE_SQL = None

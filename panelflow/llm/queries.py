@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from panelflow.llm.bpe import encode
 from panelflow.llm.exact_dedup import exact_dedup
+from panelflow.llm.mixing import mix
 from panelflow.llm.quality import quality_report
 from panelflow.llm.simhash import simhash_dedup
 
@@ -21,6 +24,15 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents"), width=4)
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
+                  outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
@@ -28,6 +40,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op6_bpe": op6_bpe,
+    "op8_mixing": op8_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
