@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 CACHE_WORDS = 400_000
+BEYOND_LATIN = re.compile("[^\x00-\u036f]")
 _NONE = np.iinfo(np.int64).max
 
 
@@ -39,7 +40,8 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
-def _unassigned() -> re.Pattern:
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
     """Characters that this Python's Unicode data has no name for."""
     codes = np.array([c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"])
     firsts, lasts = codes[np.r_[True, np.diff(codes) > 1]], codes[np.r_[np.diff(codes) > 1, True]]
@@ -70,7 +72,7 @@ class WordBpe:
         self.order = np.argsort(keys, kind="stable")  # place in the sorted keys -> rank
         self.keys, self.made = keys[self.order], made
         self.known: dict[str, tuple[int, ...]] = {}
-        self.beyond_latin, self.unassigned = re.compile("[^\x00-\u036f]"), _unassigned()
+        self.unassigned = unassigned()
         self.library = Tokenizer.from_file(path)
         self.byte_of = {s: b for b, s in enumerate(symbols)}
 
@@ -79,7 +81,7 @@ class WordBpe:
         return text.replace("Σ", "σ").lower() if self.lower else text  # letter by letter: no final sigma
 
     def split(self, text: str) -> list[str]:
-        if self.beyond_latin.search(text) and self.unassigned.search(text):
+        if BEYOND_LATIN.search(text) and self.unassigned.search(text):
             cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return [bytes(map(self.byte_of.__getitem__, piece)).decode() for piece, _ in cut]
         return self.pattern.findall(self.normal(text))

@@ -10,6 +10,7 @@ from panelflow.llm.exact_dedup import exact_dedup
 from panelflow.llm.mixing import mix
 from panelflow.llm.quality import quality_report
 from panelflow.llm.simhash import simhash_dedup
+from panelflow.llm.token_files import token_file_report
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ QUERIES = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_bpe": op6_bpe,
     "op8_mixing": op8_mixing,
+    "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
 }
 
