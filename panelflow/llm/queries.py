@@ -10,6 +10,7 @@ from panelflow.llm.exact_dedup import exact_dedup
 from panelflow.llm.mixing import mix
 from panelflow.llm.quality import quality_report
 from panelflow.llm.simhash import simhash_dedup
+from panelflow.llm.substring_dedup import substring_dedup
 from panelflow.llm.token_files import token_file_report
 
 
@@ -30,6 +31,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                   outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"), outputs=("kept_sha256",))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op6_bpe": op6_bpe,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
