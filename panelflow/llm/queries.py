@@ -7,11 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelflow.llm.bpe import encode
 from panelflow.llm.exact_dedup import exact_dedup
+from panelflow.llm.html_text import extract_text
+from panelflow.llm.licenses import license_scan, license_sql
 from panelflow.llm.mixing import mix
 from panelflow.llm.quality import quality_report
 from panelflow.llm.simhash import simhash_dedup
 from panelflow.llm.substring_dedup import substring_dedup
 from panelflow.llm.token_files import token_file_report
+from panelflow.llm.url_templates import url_filter
+
+#: The explicit rules of op3 (fixed values).
+URL_RULES = (
+    ("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"),
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +30,22 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup(_table(spark, sf_dir, "documents"), width=4)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
                   outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -49,7 +69,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_html_text": op2_html_text,
+    "op3_url_templates": op3_url_templates,
     "op4_simhash_dedup": op4_simhash_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_bpe": op6_bpe,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_mixing": op8_mixing,
@@ -62,6 +85,7 @@ ORACLES = {
 WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+    "op5_license_scan": license_sql(),
     "op10_quality_rules": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 grams AS (
