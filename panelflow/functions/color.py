@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from panelflow.functions.values import clamp, half_up
+from panelflow.functions.values import clamp, half_up, strip_space
 
 HEX = "^#[0-9a-fA-F]{6}$"
 
 
 def normalize_color(value: Column, fallback) -> Column:
     """The trimmed colour when it is one, else ``fallback``."""
-    trimmed = F.trim(value)
+    trimmed = strip_space(value)
     return F.when(trimmed.rlike(HEX), trimmed).otherwise(F.lit(fallback))
 
 

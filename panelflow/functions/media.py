@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from panelflow.functions.values import clamp_setting
+from panelflow.functions.values import clamp_setting, strip_space
 
 # Accepted types, suffixes and limits.
 KNOWN_TYPES = ("image/jpeg", "image/png", "image/webp", "image/gif", "image/avif", "image/svg+xml")
@@ -18,7 +18,7 @@ LAZY_ATTRIBUTES = ("current_src", "src", "data_src", "data_original", "data_lazy
 
 def sniff_mime(content: Column, content_type: Column) -> Column:
     """Type of a downloaded picture: a trusted header, else the first bytes, else null."""
-    told = F.lower(F.trim(F.split_part(F.coalesce(content_type, F.lit("")), F.lit(";"), F.lit(1))))
+    told = F.lower(strip_space(F.split_part(F.coalesce(content_type, F.lit("")), F.lit(";"), F.lit(1))))
     magic = F.hex(F.substring(content, 1, 12))
     opening = F.ltrim(F.try_validate_utf8(F.substring(content, 1, 512).cast("string")))
     opening = F.coalesce(opening, F.ltrim(F.decode(F.substring(content, 1, 512), "ISO-8859-1")))
@@ -131,11 +131,11 @@ def resolve_source(attributes: dict[str, Column], base: Column) -> Column:
     """Address of an image element: plain and lazy attributes, then the first srcset entry."""
     direct = _first_of(*[attributes[n] for n in LAZY_ATTRIBUTES if n in attributes])
     several = _first_of(*[attributes[n] for n in ("srcset", "data_srcset") if n in attributes])
-    candidate = F.split_part(F.regexp_replace(F.trim(F.split_part(several, F.lit(","), F.lit(1))), r"\s+", " "), F.lit(" "), F.lit(1))
+    candidate = F.split_part(F.regexp_replace(strip_space(F.split_part(several, F.lit(","), F.lit(1))), r"\s+", " "), F.lit(" "), F.lit(1))
     return absolute_url(F.coalesce(direct, candidate), base)
 
 
 def background_url(css: Column) -> Column:
     """First ``url(...)`` of a style, quoted or not."""
     pattern = r"""(?i)url\(\s*(?:"([^"]+)"|'([^']+)'|([^)'"\s][^)]*))\s*\)"""
-    return _first_of(*[F.regexp_extract(css, pattern, g) for g in (1, 2)], F.trim(F.regexp_extract(css, pattern, 3)))
+    return _first_of(*[F.regexp_extract(css, pattern, g) for g in (1, 2)], strip_space(F.regexp_extract(css, pattern, 3)))

@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# White space in the sense of scripts: what a string is stripped of.
+SPACE = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def strip_space(text: Column) -> Column:
+    return F.trim(text, F.lit(SPACE))
+
+
 def column(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelflow.functions import geometry as g
-from panelflow.functions.values import clamp, half_up
+from panelflow.functions.values import clamp, half_up, strip_space
 from panelflow.operators.folds import ordered_fold
 from panelflow.operators.ordered import numbered
 
@@ -24,7 +24,7 @@ CHUNK = 4096
 
 def crop_candidates(regions: DataFrame, image_width: Column, image_height: Column, key: str = "image_id") -> DataFrame:
     """Each usable region with its padded box."""
-    page = regions.where(F.trim(F.coalesce("translated", F.lit(""))) != "").select(
+    page = regions.where(strip_space(F.coalesce("translated", F.lit(""))) != "").select(
         key, "ord", image_width.alias("image_width"), image_height.alias("image_height"), "box", "layout_box")
     size = F.col("image_width"), F.col("image_height")
     found = g.with_pixel_box(g.with_pixel_box(page, "box", "__own", *size), "layout_box", "__layout", *size)

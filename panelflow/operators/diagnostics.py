@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from panelflow.functions import messages as m
 from panelflow.functions.text import single_line
+from panelflow.functions.values import strip_space
 
 
 def scan_run_events(lines: DataFrame) -> DataFrame:
     """Lines that hold JSON, parsed as ``event``; other and broken lines drop out."""
-    trimmed = F.trim(F.col("line"))
+    trimmed = strip_space(F.col("line"))
     return (
         lines.where(trimmed.startswith("{") | trimmed.startswith("["))
         .withColumn("event", F.try_parse_json(trimmed))
@@ -68,7 +69,7 @@ def event_details(events: DataFrame) -> DataFrame:
 def _tail(lines: DataFrame, stream: str, count: int, prefix: str) -> DataFrame:
     newest = Window.partitionBy("run_id").orderBy(F.desc("seq"))
     return (
-        lines.where((F.col("stream") == stream) & (F.trim(single_line(F.col("line"), m.DETAIL_LENGTH)) != ""))
+        lines.where((F.col("stream") == stream) & (single_line(F.col("line"), m.DETAIL_LENGTH) != ""))
         .withColumn("__rn", F.row_number().over(newest)).where(F.col("__rn") <= count)
         .select("run_id", "seq", F.lit(0).alias("part"), single_line(
             F.concat(F.lit(prefix), single_line(F.col("line"), m.DETAIL_LENGTH)), m.DETAIL_LENGTH).alias("detail"))
@@ -109,7 +110,7 @@ def failure_class(lines: DataFrame, runs: DataFrame) -> DataFrame:
     signs = lines.groupBy("run_id").agg(F.bool_or(F.col("line").rlike(m.COMPATIBILITY)).alias("incompatible"))
     opening = Window.partitionBy("run_id").orderBy("seq")
     # the refusal is looked for in the first 1200 characters, so in at most that many lines
-    head = lines.where((F.col("stream") == "stdout") & (F.trim("line") != "")).withColumn(
+    head = lines.where((F.col("stream") == "stdout") & (strip_space(F.col("line")) != "")).withColumn(
         "__rn", F.row_number().over(opening)).where(F.col("__rn") <= m.DETAIL_LENGTH)
     refused = head.groupBy("run_id").agg(m.safety_blocked(F.array_join(
         F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda s: s["line"]), " ")).alias("refused"))
@@ -147,7 +148,9 @@ def failure_class(lines: DataFrame, runs: DataFrame) -> DataFrame:
 
 def _json_strings(lines: DataFrame) -> DataFrame:
     """Every string value inside the JSON lines, unescaped, in document order."""
-    literals = F.regexp_extract_all(F.col("line"), F.lit(r'("(?:[^"\\]|\\.)*")(?!\s*:)'), F.lit(1))
+    # every literal is taken whole, keys with their colon, so none is entered in the middle
+    tokens = F.regexp_extract_all(F.col("line"), F.lit(r'"(?:[^"\\]++|\\.)*+"(?:\s*+:)?+'), F.lit(0))
+    literals = F.filter(tokens, lambda token: token.endswith('"'))
     return scan_run_events(lines).select("run_id", "seq", F.posexplode(literals).alias("at", "literal")).select(
         "run_id", "seq", "at", F.try_variant_get(F.try_parse_json("literal"), "$", "string").alias("text"))
 
@@ -178,7 +181,7 @@ def thread_ids(lines: DataFrame) -> DataFrame:
 
 def latest_generated_file(files: DataFrame, root: str) -> DataFrame:
     """(path, modified_at) -> newest image per run folder ``root/<thread_id>/...``."""
-    rest = F.substring(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), len(root) + 2, 100_000)
+    rest = F.substring(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), len(root) + 2, 2**31 - 1)
     image = F.col("path").rlike(r"(?i)\.(png|jpe?g|webp)$") & m.inside_root(F.col("path"), F.lit(root))
     return (
         files.where(image).withColumn("thread_key", F.lower(F.split_part(rest, F.lit("/"), F.lit(1))))

@@ -13,7 +13,8 @@ from panelflow.functions.values import zero_means_default
 from panelflow.session import materialize
 
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-_TAG = r"""(?i)<(?:[a-z][a-z0-9-]*)(?:[\s/](?:"[^"]*"|'[^']*'|[^'">])*)?>"""
+# possessive: a page may hold any number of characters that never become a tag
+_TAG = r"""(?i)<(?:[a-z][a-z0-9-]*+)(?:[\s/](?:"[^"]*+"|'[^']*+'|[^'">]++)*+)?+>"""
 
 
 def _attribute(tag: Column, name: str) -> Column:

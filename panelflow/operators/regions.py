@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions.color import parse_hex, rgb
 from panelflow.functions.geometry import EDGES, area, with_pixel_box
-from panelflow.functions.values import clamp, is_finite, or_zero, zero_means_default
+from panelflow.functions.values import clamp, is_finite, or_zero, strip_space, zero_means_default
 from panelflow.operators.components import connected_components
 from panelflow.operators.folds import ordered_fold
 from panelflow.session import materialize
@@ -46,7 +46,7 @@ def normalize_regions(regions: DataFrame, image_width: Column, image_height: Col
     layout = F.col("__layout")
     black, white = rgb(17, 17, 17), rgb(255, 255, 255)
     height = image_height.cast("double")
-    usable = regions.where(F.trim(F.coalesce("translated", F.lit(""))) != "")
+    usable = regions.where(strip_space(F.coalesce("translated", F.lit(""))) != "")
     usable = with_pixel_box(usable, "box", "__own", image_width, image_height).where("__own is not null")
     boxed = (
         with_pixel_box(usable, "layout_box", "__found", image_width, image_height)
@@ -66,7 +66,7 @@ def normalize_regions(regions: DataFrame, image_width: Column, image_height: Col
     background = parse_hex(F.col("background_color"), white)
     return boxed.select(
         *[c for c in regions.columns if c not in ("translated", "region_kind", "font_size", "rotation")],
-        F.trim("translated").alias("translated"),
+        strip_space(F.col("translated")).alias("translated"),
         "region_kind",
         *[own[e].alias(e) for e in EDGES],
         "has_layout_box",

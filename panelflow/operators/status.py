@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.functions import progress as p
+from panelflow.functions.values import strip_space
 from panelflow.operators.ordered import forward_fill, running_sum
 
 
 def parse_progress(lines: DataFrame) -> DataFrame:
-    """(seq, line) -> one row per well-formed line; other lines drop out. Works on streams."""
-    line = F.trim(F.col("line"))
+    """(seq, line) -> one row per well-formed line; other lines drop out, also those whose numbers are too large
+    to be a task's or image's. Works on streams."""
+    line = strip_space(F.col("line"))
     parts = [F.regexp_extract(line, p.LINE_PATTERN, i) for i in range(1, 5)]
     keep = [c for c in lines.columns if c != "line"]
     parsed = lines.where(line.rlike(p.LINE_PATTERN)).select(
         *keep,
         parts[0].alias("time"),
-        parts[1].cast("bigint").alias("task_number"),
-        parts[2].cast("bigint").alias("image_number"),
+        parts[1].try_cast("bigint").alias("task_number"),
+        parts[2].try_cast("bigint").alias("image_number"),
         parts[3].alias("detail"),
-    )
+    ).where("task_number is not null and image_number is not null")
     return (
         parsed.withColumn("__c", p.classify(F.col("detail")))
         .withColumn("__s", p.source_of(F.col("detail")))

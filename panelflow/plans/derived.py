@@ -16,12 +16,14 @@ TABLES = (
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+BLANKS = "' 　' || chr(9) || chr(10)"  # what the derived texts are padded with, in SQL
+
 VIEWS = {
     # log lines; '?' image numbers must vanish, one text contains two rule markers
     "v_log_lines": """
 SELECT event_id AS seq, ts,
   '[' || substr(cast(ts AS varchar(40)),12,8) || '] [작업 #' || cast(user_id AS varchar(20)) || ' · 이미지 #' ||
-  CASE WHEN event_id % 50 = 0 THEN '?' ELSE cast(event_id % 40 + 1 AS varchar(20)) END || '] ' ||
+  CASE WHEN event_id % 50 = 0 THEN '?' WHEN event_id % 50 = 1 THEN '123456789012345678901234567890' ELSE cast(event_id % 40 + 1 AS varchar(20)) END || '] ' ||
   CASE event_type
     WHEN 'signup' THEN CASE WHEN user_id % 2 = 0 THEN '요청 수신 · 1.24 MB · <zip> · zip' ELSE '요청 수신 · 800 KB · <img> · example.com/page.png' END
     WHEN 'view' THEN '자동 검수 1/3 · 합성 결과 시각 검수 3/3 시작 · 첨부 자료 5개'
@@ -37,7 +39,7 @@ SELECT l_orderkey AS image_id, cast(row_number() OVER (PARTITION BY l_orderkey
   (l_partkey % 5) * 150 + 120 AS x1, (l_partkey % 3) * 250 + 200 AS y1,
   CASE WHEN l_linenumber = 7 THEN NULL ELSE round(l_discount * 10, 2) END AS confidence,
   CASE l_returnflag WHEN 'A' THEN 'dialogue' WHEN 'N' THEN 'narration' ELSE 'sfx' END AS region_kind,
-  CASE WHEN l_quantity < 3 THEN ' ' ELSE 't' || cast(l_partkey AS varchar(20)) END AS translated
+  CASE WHEN l_quantity < 2 THEN ' ' WHEN l_quantity < 3 THEN '　' || chr(9) || chr(10) WHEN l_quantity < 4 THEN '　t' || chr(10) ELSE 't' || cast(l_partkey AS varchar(20)) END AS translated
 FROM lineitem""",
     # pages with an image-bearing element appended
     "v_pages_img": """
@@ -138,7 +140,7 @@ SELECT page_id, url, html || CASE page_id % 10
   WHEN 6 THEN '<svg width="120" height="80"></svg>'
   WHEN 7 THEN '<img src="https://o.example.net/p.png?x=1&amp;y=2" width="120" height="80" style="display:none">'
   WHEN 8 THEN '<script>document.write(' || chr(39) || '<img src="s.png">' || chr(39) || ')</script><img data-srcset="g.png 2x" width="121" height="79">'
-  ELSE '<img alt="none" width="900" height="900">' END AS html
+  ELSE '<img alt="none" width="900" height="900">' END || CASE WHEN page_id % 97 = 13 THEN '<div ' || repeat('x', 1000000) ELSE '' END AS html
 FROM pages"""
 
 # work requests with payloads, some not acceptable
@@ -170,7 +172,9 @@ SELECT event_id AS seq, user_id AS run_id,
     WHEN 1 THEN '{{"type":"item.completed","item":{{"type":"agent_message","text":"saved C:' || chr(92) || chr(92) || 'gen' || chr(92) || chr(92) || {_THREAD}
       || chr(92) || chr(92) || 'img' || cast(event_id % 7 AS varchar(20)) || '.png ok"}}}}'
     WHEN 2 THEN '{{"type":"item.completed","item":{{"type":"command_execution","exit_code":2,"aggregated_output":"denied ' || cast(event_id % 3 AS varchar(20)) || '"}}}}'
-    WHEN 3 THEN '{{"type":"item.completed","item":{{"type":"command_execution","exit_code":0,"aggregated_output":"fine"}}}}'
+    WHEN 3 THEN CASE WHEN event_id % 5000 = 3 THEN '{{"pad":"' || repeat('y', 1000000) || '","path":"C:/gen/long.png"}}'
+      WHEN user_id % 13 = 0 THEN '{{"key.png":"C:' || chr(92) || 'u005cgen' || chr(92) || 'u005cu' || cast(event_id % 5 AS varchar(20)) || '.png","next":":,"}}'
+      ELSE '{{"type":"item.completed","item":{{"type":"command_execution","exit_code":0,"aggregated_output":"fine"}}}}' END
     WHEN 4 THEN 'warn  models cache   stale ' || cast(event_id % 4 AS varchar(20))
     WHEN 5 THEN '{{"type":"turn.failed","error":{{"message":"boom ' || cast(event_id % 9 AS varchar(20)) || '"}}}}'
     WHEN 6 THEN ' {{"type":"Error","message":"rate limit","item":{{"error":"inner","message":{{"detail":"deep"}}}}}}'

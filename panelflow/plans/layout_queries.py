@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions import geometry as g, text as t
 from panelflow.operators import captions as cap, crops as c
-from panelflow.plans.derived import view, with_views
+from panelflow.plans.derived import BLANKS, view, with_views
 from panelflow.plans.region_queries import IMAGE_HEIGHT, IMAGE_WIDTH, styled_regions
 
 
@@ -163,7 +163,7 @@ WITH content AS (
     greatest({_px('x0', 'x1', 1000, True)}, CASE WHEN ok THEN {_px('lx0', 'lx1', 1000, True)} ELSE 0 END) AS r,
     greatest({_px('y0', 'y1', 1400, True)}, CASE WHEN ok THEN {_px('ly0', 'ly1', 1400, True)} ELSE 0 END) AS b
   FROM (SELECT *, has_layout AND {_px('lx0', 'lx1', 1000, True)} - {_px('lx0', 'lx1', 1000, False)} >= 2
-    AND {_px('ly0', 'ly1', 1400, True)} - {_px('ly0', 'ly1', 1400, False)} >= 2 AS ok FROM v_styled WHERE trim(translated) <> '') q
+    AND {_px('ly0', 'ly1', 1400, True)} - {_px('ly0', 'ly1', 1400, False)} >= 2 AS ok FROM v_styled WHERE trim(translated, {BLANKS}) <> '') q
 ),
 padded AS (
   SELECT *, floor(least(140::DOUBLE, greatest(24, (r - l) * 0.65::DOUBLE, (b - t) * 0.18::DOUBLE)) + 0.5) AS px,

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelflow.functions import color, geometry as g, values as v
+from panelflow.functions.values import strip_space
 from panelflow.operators import regions as r
-from panelflow.plans.derived import table, view, with_views
+from panelflow.plans.derived import BLANKS, table, view, with_views
 from panelflow.sources.model_json import scan_regions, scan_reviews
 
 IMAGE_WIDTH, IMAGE_HEIGHT = 1000, 1400
@@ -38,7 +39,7 @@ def pixel_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _plain_boxes(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Translated regions with their pixel edges."""
-    rows = view(spark, sf_dir, name).where("trim(translated) <> ''")
+    rows = view(spark, sf_dir, name).where(strip_space(F.col("translated")) != "")
     boxed = g.with_pixel_box(rows.withColumn("__values", _array("x0", "y0", "x1", "y1")), "__values", "__box", *_size())
     return boxed.where("__box is not null").select("image_id", "ord", "confidence", "__box.*")
 
@@ -238,7 +239,7 @@ slots AS (
 def _boxes(name: str) -> str:
     return f"""boxes AS (
   SELECT image_id, ord, confidence, b."left", b.top, b."right", b.bottom
-  FROM (SELECT image_id, ord, confidence, {_px('b', 'x0', 'y0', 'x1', 'y1')} FROM {name} WHERE trim(translated) <> '') q
+  FROM (SELECT image_id, ord, confidence, {_px('b', 'x0', 'y0', 'x1', 'y1')} FROM {name} WHERE trim(translated, {BLANKS}) <> '') q
   WHERE b IS NOT NULL
 )"""
 
@@ -256,7 +257,7 @@ WITH px AS (
   SELECT *, {_px('own', 'x0', 'y0', 'x1', 'y1')}, {_px('found', 'lx0', 'ly0', 'lx1', 'ly1', 'has_layout')},
     CASE WHEN region_kind IN ('dialogue', 'narration', 'sfx', 'label') THEN region_kind
       WHEN background_complex THEN 'label' ELSE 'dialogue' END AS kind
-  FROM v_styled WHERE trim(translated) <> ''
+  FROM v_styled WHERE trim(translated, {BLANKS}) <> ''
 ),
 fit AS (
   SELECT *, found IS NOT NULL AND NOT (kind IN ('dialogue', 'narration') AND
@@ -264,7 +265,7 @@ fit AS (
   FROM px WHERE own IS NOT NULL
 ),
 normal AS (
-  SELECT image_id, ord, confidence, trim(translated) AS translated, kind AS region_kind, own."left", own.top, own."right", own.bottom,
+  SELECT image_id, ord, confidence, trim(translated, {BLANKS}) AS translated, kind AS region_kind, own."left", own.top, own."right", own.bottom,
     coalesce(has_layout_box, FALSE) AS has_layout_box,
     CASE WHEN has_layout_box THEN found ELSE own END AS lay,
     round(least(240, greatest(7, coalesce(nullif(font_size, 0), (own.bottom - own.top)::DOUBLE / {IMAGE_HEIGHT} * 820) / 1000 * {IMAGE_HEIGHT})), 6) AS font_px,

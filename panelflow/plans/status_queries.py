@@ -102,10 +102,11 @@ raw AS (
   FROM v_log_lines
   WHERE regexp_matches(trim(line), '^\\[(\\d{{2}}:\\d{{2}}:\\d{{2}})\\] \\[작업 #(\\d+) · 이미지 #(\\d+)\\] (.+)$')
 ),
+fitting AS (SELECT * FROM raw WHERE TRY_CAST(m.task AS BIGINT) IS NOT NULL AND TRY_CAST(m.image AS BIGINT) IS NOT NULL),
 flat AS (
   SELECT seq, m.time AS time, CAST(m.task AS BIGINT) AS task_number, CAST(m.image AS BIGINT) AS image_number,
     m.message AS detail, regexp_extract(m.message, '<([a-zA-Z0-9_-]+)>', 1) AS tag
-  FROM raw
+  FROM fitting
 ),
 ruled AS (
   SELECT f.seq, arg_min(r.stage, r.priority) AS stage, arg_min(r.state, r.priority) AS state,

@@ -130,7 +130,7 @@ class StatusTable:
 
     def _sources(self, spark, before: int) -> DataFrame | None:
         path = f"{self.path}/sources"
-        if before == 0 or not _exists(spark, path):
+        if not _exists(spark, path):
             return None
         parts = spark.read.parquet(path).where(F.col("batch") < before)
         return parts.groupBy("task_number").agg(F.max_by(F.struct("source", "source_label"), "seq").alias("__before"))
