@@ -15,14 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.schemas import MIN_CONFIDENCE, REGION_FIELDS, REGION_TYPE
-from panelflow.session import is_small, materialize
+from panelflow.session import materialize
 
 # What an outcome says when there was no usable review.
 CALL_FAILED = "시각 검수 호출 실패"
 CALL_FAILED_ISSUE = "시각 검수 결과를 받지 못해 사용자 확인이 필요함"
 SKIPPED_SUMMARY = "사용자 설정으로 시각 검수를 생략했습니다."
 NO_RESULT = "검수 결과 없음"
-MAX_ROUNDS = 5
+DEFAULT_ATTEMPTS = 3  # of an item whose plan names none
 
 REGIONS_TYPE = f"array<{REGION_TYPE}>"
 _COLUMNS = sorted(column for _, column, _ in REGION_FIELDS)
@@ -41,13 +41,18 @@ def cache_key(content_hash: Column, signature: Column) -> Column:
     return F.sha2(F.concat(content_hash, signature), 256)
 
 
+def _sure(region: Column) -> Column:
+    """The confidence; none for null and for what is no number."""
+    return F.nanvl(F.coalesce(region["confidence"], F.lit(0.0)), F.lit(0.0))
+
+
 def reliable_regions(regions: Column, minimum: float = MIN_CONFIDENCE) -> Column:
     return F.filter(F.coalesce(regions, F.array().cast(REGIONS_TYPE)),
-                    lambda r: F.coalesce(r["confidence"], F.lit(0.0)) >= minimum)
+                    lambda r: _sure(r) >= minimum)
 
 
 def mean_confidence(regions: Column) -> Column:
-    total = F.aggregate(regions, F.lit(0.0), lambda acc, r: acc + F.coalesce(r["confidence"], F.lit(0.0)))
+    total = F.aggregate(regions, F.lit(0.0), lambda acc, r: acc + _sure(r))
     return F.when(F.size(regions) > 0, total / F.size(regions))
 
 
@@ -96,17 +101,15 @@ class LexiconTranslator:
         self.lexicon = lexicon
 
     def translate(self, texts: DataFrame) -> DataFrame:
-        keys = [c for c in texts.columns if c != "original"]
-        words = texts.select(*keys, F.posexplode(F.filter(
+        rows = materialize(texts.withColumn("__row", F.monotonically_increasing_id()), "texts")
+        words = rows.select("__row", F.posexplode(F.filter(
             F.split("original", r"(?U)\s+"), lambda w: w != "")).alias("__at", "token"))
         lexicon = self.lexicon.groupBy("token").agg(F.min("target").alias("target"))
-        if is_small(lexicon):
-            lexicon = F.broadcast(lexicon)
         placed = words.join(lexicon, "token", "left").select(
-            *keys, F.struct("__at", F.coalesce("target", "token").alias("word")).alias("__w"))
-        joined = placed.groupBy(*keys).agg(F.array_join(
+            "__row", F.struct("__at", F.coalesce("target", "token").alias("word")).alias("__w"))
+        joined = placed.groupBy("__row").agg(F.array_join(
             F.transform(F.sort_array(F.collect_list("__w")), lambda w: w["word"]), " ").alias("translated"))
-        return texts.join(joined, keys, "left").withColumn(
+        return rows.join(joined, "__row", "left").drop("__row").withColumn(
             "translated", F.coalesce("translated", F.lit(""))).withColumn("error", F.lit(None).cast("string"))
 
 
@@ -121,10 +124,10 @@ class RuleReviewer:
         self.fails = F.lit(False) if fails is None else fails
 
     def review(self, pending: DataFrame) -> DataFrame:
-        weak = F.filter("regions", lambda r: F.coalesce(r["confidence"], F.lit(0.0)) < self.minimum)
+        weak = F.filter("regions", lambda r: _sure(r) < self.minimum)
         raised = F.transform("regions", lambda r: F.when(
-            F.coalesce(r["confidence"], F.lit(0.0)) < self.minimum,
-            r.withField("confidence", F.round(F.least(F.lit(1.0), F.coalesce(r["confidence"], F.lit(0.0)) + self.step), 6)),
+            _sure(r) < self.minimum,
+            r.withField("confidence", F.round(F.least(F.lit(1.0), _sure(r) + self.step), 6)),
         ).otherwise(r))
         return pending.select(
             "work_id", (F.size(weak) == 0).alias("passed"),
@@ -136,7 +139,7 @@ class RuleReviewer:
 class FunctionReviewer:
     """A reviewer calling a Python function on batches; failures become the ``error`` column."""
 
-    SCHEMA = f"work_id bigint, passed boolean, summary string, issues array<string>, regions {REGIONS_TYPE}, error string"
+    ANSWER = f"passed boolean, summary string, issues array<string>, regions {REGIONS_TYPE}, error string"
 
     def __init__(self, function: Callable[[pd.DataFrame], pd.DataFrame]):
         self.function = function
@@ -152,18 +155,14 @@ class FunctionReviewer:
                     yield pd.DataFrame({"work_id": batch["work_id"], "passed": None, "summary": None, "issues": None,
                                         "regions": None, "error": f"{type(error).__name__}: {error}"})
 
-        return pending.mapInPandas(run, schema=self.SCHEMA)
-
-
-class DigestRenderer:
-    """Stands in for a picture renderer: the rendering is a digest of its own address."""
-
-    def render(self, wanted: DataFrame) -> DataFrame:
-        return wanted.select("cache_key", F.encode(F.sha2(F.concat(F.lit("rendered "), "cache_key"), 256), "UTF-8").alias("rendered"))
+        return pending.mapInPandas(run, schema=f"work_id {dict(pending.dtypes)['work_id']}, {self.ANSWER}")
 
 
 class FunctionRenderer:
-    """Renders batches missing from the cache through a Python function (bytes per row)."""
+    """Renders batches missing from the cache through a Python function (bytes per row).
+
+    A batch that fails is tried again row by row; a row that fails has no rendering.
+    """
 
     def __init__(self, function: Callable[[pd.DataFrame], pd.Series]):
         self.function = function
@@ -173,7 +172,16 @@ class FunctionRenderer:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield pd.DataFrame({"cache_key": batch["cache_key"], "rendered": function(batch)})
+                try:
+                    rendered = list(function(batch))
+                except Exception:
+                    rendered = []
+                    for place in range(len(batch)):
+                        try:
+                            rendered += list(function(batch.iloc[place:place + 1]))
+                        except Exception:  # one bad picture must not stop the job
+                            rendered.append(None)
+                yield pd.DataFrame({"cache_key": batch["cache_key"].to_numpy(), "rendered": pd.Series(rendered, dtype=object)})
 
         return wanted.mapInPandas(run, schema="cache_key string, rendered binary")
 
@@ -189,8 +197,12 @@ def with_fallback(previous: DataFrame, answers: DataFrame, key: str = "work_id")
 
 
 def cached_renderings(wanted: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(found with ``rendered``, still to render): hits unless ``bypass``; one row per address to render."""
-    held = cache.select("cache_key", "rendered")
+    """(found with ``rendered``, still to render): hits unless ``bypass``; one row per address to render.
+
+    Only the wanted addresses are fetched from the cache, and each of them once, whatever it holds twice.
+    """
+    asked = wanted.where(~F.col("bypass")).select("cache_key").distinct()
+    held = cache.where("rendered is not null").join(asked, "cache_key", "left_semi").groupBy("cache_key").agg(F.min("rendered").alias("rendered"))
     hits = wanted.where(~F.col("bypass")).join(held, "cache_key")
     misses = wanted.join(hits.select("work_id"), "work_id", "left_anti").groupBy("cache_key").agg(
         F.min("content_hash").alias("content_hash"), F.min_by("regions", "work_id").alias("regions"))
@@ -202,21 +214,22 @@ def _empty_cache(work: DataFrame) -> DataFrame:
 
 
 def review_loop(
-    work: DataFrame, reviewer: Reviewer, renderer: Renderer | None = None, cache: DataFrame | None = None,
+    work: DataFrame, reviewer: Reviewer, renderer: Renderer, cache: DataFrame | None = None,
 ) -> DataFrame:
     """Run the render / review / correct rounds and decide the final rendering.
 
-    ``work``: (work_id, content_hash, regions, mode, max_attempts, optional cancelled).
-    At most five rounds, each one set-based over everything still pending; a round only
-    touches items that neither passed nor used up their attempts. ``final`` says what is
-    left to do: reuse the reviewed rendering, render once more (``final_bypass``: not from
-    the cache), or nothing when no region is left.
+    ``work``: (work_id, content_hash, regions, mode, max_attempts, optional cancelled), one row per ``work_id``.
+    Every item that is not cancelled comes out once. Each round is set-based over everything
+    still pending, and rounds go on until nothing is: ``max_attempts`` alone limits them, and
+    an item without one gets ``DEFAULT_ATTEMPTS``. A rendering the renderer does not give
+    counts as a failed call. ``final`` says what is left to do: reuse the reviewed rendering,
+    render once more (``final_bypass``: not from the cache), or nothing when no region is left.
     """
-    renderer = renderer or DigestRenderer()
     cache = _empty_cache(work) if cache is None else cache.select("cache_key", "rendered")
     active = work if "cancelled" not in work.columns else work.where(~F.coalesce("cancelled", F.lit(False)))
     start = materialize(
-        active.select("work_id", "content_hash", "mode", F.col("max_attempts").cast("int").alias("max_attempts"),
+        active.select("work_id", "content_hash", "mode",
+                      F.coalesce(F.col("max_attempts").cast("int"), F.lit(DEFAULT_ATTEMPTS)).alias("max_attempts"),
                       reliable_regions(F.col("regions").cast(REGIONS_TYPE)).alias("regions")).select(
             "*", F.lit(None).cast("boolean").alias("passed"), F.lit(None).cast("string").alias("summary"),
             F.array().cast("array<string>").alias("issues"), F.lit(0).alias("attempts"),
@@ -224,21 +237,25 @@ def review_loop(
         "work")
     waiting = (F.size("regions") > 0) & (F.col("max_attempts") > 0)
     finished = start.where(~waiting)
-    pending = start.where(waiting)
-    for attempt in range(1, MAX_ROUNDS + 1):
+    pending, attempt = start.where(waiting), 0
+    while not pending.isEmpty():
+        attempt += 1
         signature = region_signature(F.col("regions"))
         signed = pending.withColumn("signature", signature).withColumn("cache_key", cache_key(F.col("content_hash"), F.col("signature")))
         signed = signed.withColumn("bypass", F.coalesce(~F.col("passed") & (F.col("signature") == F.col("rendered_signature")), F.lit(False)))
         wanted = signed.select("work_id", "cache_key", "content_hash", "regions", "bypass")
         hits, misses = cached_renderings(wanted, cache)
-        fresh = materialize(renderer.render(misses), "rendered")
-        known = fresh.withColumn("fresh", F.lit(True)).unionByName(
-            cache.join(fresh.select("cache_key"), "cache_key", "left_anti").withColumn("fresh", F.lit(False)))
-        cache = known.select("cache_key", "rendered")
-        shown = signed.join(known, "cache_key")
-        answers = reviewer.review(shown.select("work_id", F.lit(attempt).alias("attempt"), "regions", "rendered", "mode", "max_attempts"))
+        fresh = materialize(
+            renderer.render(misses).where("rendered is not null").groupBy("cache_key").agg(F.min("rendered").alias("rendered")), "rendered")
+        old = hits.select("cache_key", "rendered").dropDuplicates(["cache_key"]).join(fresh.select("cache_key"), "cache_key", "left_anti")
+        shown = signed.join(
+            fresh.withColumn("fresh", F.lit(True)).unionByName(old.withColumn("fresh", F.lit(False))), "cache_key", "left")
+        cache = fresh.unionByName(cache.join(fresh.select("cache_key"), "cache_key", "left_anti"))
+        answers = reviewer.review(shown.where("rendered is not null").select(
+            "work_id", F.lit(attempt).alias("attempt"), "regions", "rendered", "mode", "max_attempts"))
         told = answers.select("work_id", F.col("passed").alias("__passed"), F.col("summary").alias("__summary"),
                               F.col("issues").alias("__issues"), F.col("regions").alias("__regions"), F.col("error").alias("__error"))
+        told = told.dropDuplicates(["work_id"])
         joined = shown.drop("rendered").join(told, "work_id", "left").withColumn(
             "__ok", F.col("__passed").isNotNull() & F.col("__error").isNull())
         ok = F.col("__ok")
@@ -248,15 +265,13 @@ def review_loop(
             F.when(ok, F.col("__passed")).otherwise(False).alias("passed"),
             F.when(ok, F.col("__summary")).otherwise(CALL_FAILED).alias("summary"),
             F.when(ok, F.coalesce("__issues", F.array().cast("array<string>"))).otherwise(F.array(F.lit(CALL_FAILED_ISSUE))).alias("issues"),
-            F.lit(attempt).alias("attempts"), F.col("signature").alias("rendered_signature"),
-            (F.col("n_rendered") + F.col("fresh").cast("int")).alias("n_rendered"),
-            (F.col("n_cached") + (~F.col("fresh")).cast("int")).alias("n_cached"),
+            F.lit(attempt).alias("attempts"), F.when(F.col("fresh").isNotNull(), F.col("signature")).alias("rendered_signature"),
+            (F.col("n_rendered") + F.coalesce("fresh", F.lit(False)).cast("int")).alias("n_rendered"),
+            (F.col("n_cached") + F.coalesce(~F.col("fresh"), F.lit(False)).cast("int")).alias("n_cached"),
         ), f"round{attempt}")
         over = F.col("passed") | (F.col("max_attempts") <= attempt)
         finished = finished.unionByName(reviewed.where(over))
         pending = reviewed.where(~over)
-        if attempt == MAX_ROUNDS or pending.isEmpty():
-            break
     return _outcome(finished)
 
 
@@ -276,7 +291,7 @@ def _outcome(rows: DataFrame) -> DataFrame:
 
 
 def manual_review_round(
-    status: DataFrame, requests: DataFrame, work: DataFrame, reviewer: Reviewer, renderer: Renderer | None = None,
+    status: DataFrame, requests: DataFrame, work: DataFrame, reviewer: Reviewer, renderer: Renderer,
 ) -> DataFrame:
     """Reviews asked for while the main job ran: each eligible image once, one attempt.
 

@@ -99,22 +99,27 @@ def acknowledgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.latest_acknowledgements(work, acks)
 
 
+# names as they occur: blanks, other scripts, brackets, escapes, upper case, one name in two folders
+_ARCHIVE = """CASE page_id % 8 WHEN 0 THEN 'my set.zip' WHEN 1 THEN '한국.zip' WHEN 2 THEN 'a[2]*.zip' WHEN 3 THEN 'p%41 +&#.zip' WHEN 4 THEN 'UP.ZIP'
+    WHEN 5 THEN 'x/vol.zip' WHEN 6 THEN 'y/vol.zip' ELSE 'set7.zip' END"""
+
+
 def archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the pages into archives, list them, read the entries back."""
     pages = table(spark, sf_dir, "pages")
     k = F.col("page_id")
     entries = pages.select(
-        F.concat(F.lit("set"), (k % 8).cast("string"), F.lit(".zip")).alias("archive"), k.alias("entry_index"),
+        F.expr(_ARCHIVE).alias("archive"), k.alias("entry_index"),
         F.concat(F.lit("p/"), k.cast("string"), F.when(k % 5 == 0, ".txt").when(k % 5 == 1, "/").when(k % 5 == 2, ".PNG").otherwise(".webp")).alias("name"),
         F.when(k % 5 == 1, F.lit(b"")).otherwise(F.encode("html", "UTF-8")).alias("data"),
         F.lit(b"kept").alias("archive_comment"))
-    folder = source.make_folder(scratch_path(spark, "archives"))
-    source.write_archives(entries, folder).collect()
+    folder = source.make_folder(spark, scratch_path(spark, "archives"))
+    source.write_archives(entries, folder).write.format("noop").mode("overwrite").save()
     listed = source.scan_archives(spark, folder)
     content = source.read_entries(listed).select("archive", "entry_index", F.sha2("data", 256).alias("digest"))
     numbers = a.number_images(listed).select("archive", "entry_index", "image_number")
     return listed.join(content, ["archive", "entry_index"]).join(numbers, ["archive", "entry_index"], "left").select(
-        F.regexp_extract("archive", "([^/]+)$", 1).alias("archive"), "entry_index", "name", "is_dir", "n_bytes", "digest", "image_number",
+        F.substring(F.col("archive"), F.lit(len(folder) + 2), F.length("archive")).alias("archive"), "entry_index", "name", "is_dir", "n_bytes", "digest", "image_number",
         F.decode("archive_comment", "UTF-8").alias("archive_comment"))
 
 
@@ -207,9 +212,9 @@ SELECT c_custkey AS request_id, c_name, success, CASE WHEN seq IS NULL THEN NULL
     (CASE el WHEN 'zip' THEN 'ZIP 이미지 저장' ELSE '페이지 이미지 교체' END) || ' 실패 · ' || left(coalesce(nullif(error, ''), '원인 미상'), 500)
   ELSE (CASE el WHEN 'zip' THEN 'ZIP 이미지 저장 확인' ELSE '페이지 이미지 교체 확인' END) || ' · ' || (CASE el WHEN '' THEN '이미지' ELSE '<' || el || '>' END) END AS message
 FROM customer LEFT JOIN ranked ON request_id = c_custkey AND rn = 1""",
-    "archive_roundtrip": """
+    "archive_roundtrip": f"""
 WITH e AS (
-  SELECT 'set' || (page_id % 8) || '.zip' AS archive, row_number() OVER (PARTITION BY page_id % 8 ORDER BY page_id) - 1 AS entry_index,
+  SELECT {_ARCHIVE} AS archive, row_number() OVER (PARTITION BY page_id % 8 ORDER BY page_id) - 1 AS entry_index,
     'p/' || page_id || (CASE page_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '/' WHEN 2 THEN '.PNG' ELSE '.webp' END) AS name,
     page_id % 5 = 1 AS is_dir, CASE WHEN page_id % 5 = 1 THEN '' ELSE html END AS html, page_id % 5 > 1 AS image
   FROM pages

@@ -14,6 +14,10 @@ from panelflow.plans.region_queries import styled_regions
 from panelflow.session import scratch_path
 from panelflow.sources import archives as source
 
+# archive names without suffix: one in two folders, blanks, other scripts, escapes
+_STEM = "CASE page_id % 5 WHEN 0 THEN 'my set' WHEN 1 THEN 'x/vol' WHEN 2 THEN 'y/vol' WHEN 3 THEN '한국[3]' ELSE 's%41' END"
+
+
 class _Prefix:
     """Stands in for a picture translator: puts a mark before the bytes; some entries fail or stay."""
 
@@ -22,16 +26,16 @@ class _Prefix:
         return images.select(
             "archive", "entry_index", F.concat(F.encode(F.lit("ko:"), "UTF-8"), "data").alias("new_data"), (i % 4 != 0).alias("changed"),
             (i % 5).alias("region_count"), (i % 6 == 0).alias("review_required"), F.lit(2).alias("attempts"),
-            F.when(i % 7 == 3, "down").alias("error"), (F.col("archive").endswith("set3.zip") & (i == 10)).alias("cancelled"))
+            F.when(i % 7 == 3, "down").alias("error"), (F.col("archive").endswith("한국[3].ZIP") & (i == 10)).alias("cancelled"))
 
 def process_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages packed into archives, the archives translated, the results read back."""
     k = F.col("page_id")
     entries = table(spark, sf_dir, "pages").select(
-        F.concat(F.lit("set"), (k % 5).cast("string"), F.lit(".zip")).alias("archive"), k.alias("entry_index"),
+        F.concat(F.expr(_STEM), F.when(k % 5 == 3, ".ZIP").otherwise(".zip")).alias("archive"), k.alias("entry_index"),
         F.concat(F.lit("p"), k.cast("string"), F.when(k % 5 == 4, ".txt").when(k % 2 == 0, ".png").otherwise(".txt")).alias("name"),
         F.encode("html", "UTF-8").alias("data"))
-    folder, out = (source.make_folder(scratch_path(spark, n)) for n in ("in", "out"))
+    folder, out = (source.make_folder(spark, scratch_path(spark, n)) for n in ("in", "out"))
     source.write_archives(entries, folder).write.format("noop").mode("overwrite").save()
     archives = source.scan_archives(spark, folder).select("archive").distinct()
     skips = archives.select("archive", F.explode(F.array(F.lit(2).cast("bigint"), F.lit(3).cast("bigint"))).alias("image_number"))
@@ -39,7 +43,7 @@ def process_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = source.scan_archives(spark, out)
     content = source.read_entries(written).select("archive", "entry_index", F.sha2("data", 256).alias("digest"))
     return written.join(content, ["archive", "entry_index"]).select(
-        F.regexp_extract("archive", "([^/]+)$", 1).alias("archive"), "entry_index", "name", "digest")
+        F.substring(F.col("archive"), F.lit(len(out) + 2), F.length("archive")).alias("archive"), "entry_index", "name", "digest")
 
 def plan_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crops, sheets and placed regions per image."""
@@ -55,15 +59,15 @@ def diagnose_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"process_archives": process_archives, "plan_batches": plan_batches, "diagnose_runs": diagnose_runs}
 
-_PROCESSED = """
+_PROCESSED = f"""
 WITH e AS (
-  SELECT 'set' || (page_id % 5) || '_ko.zip' AS archive, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) - 1 AS entry_index,
+  SELECT {_STEM} || '_ko.zip' AS archive, row_number() OVER (PARTITION BY page_id % 5 ORDER BY page_id) - 1 AS entry_index,
     'p' || page_id || (CASE WHEN page_id % 5 = 4 OR page_id % 2 = 1 THEN '.txt' ELSE '.png' END) AS name, html
   FROM pages
 ),
 n AS (SELECT *, name LIKE '%.png' AS image, count(*) FILTER (name LIKE '%.png') OVER (PARTITION BY archive ORDER BY entry_index) AS k FROM e),
 d AS (SELECT *, image AND k NOT IN (2, 3) AND entry_index % 7 <> 3 AND entry_index % 4 <> 0 AS translated,
-  bool_or(image AND k NOT IN (2, 3) AND archive = 'set3_ko.zip' AND entry_index = 10) OVER (PARTITION BY archive) AS stopped,
+  bool_or(image AND k NOT IN (2, 3) AND archive = '한국[3]_ko.zip' AND entry_index = 10) OVER (PARTITION BY archive) AS stopped,
   bool_or(image) OVER (PARTITION BY archive) AS any_image FROM n)
 SELECT archive, entry_index, name, sha256(CASE WHEN translated THEN 'ko:' || html ELSE html END) AS digest FROM d WHERE NOT stopped AND any_image"""
 

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelflow.functions.text import output_name
 from panelflow.operators import archives as a, crops as c, diagnostics as d, pages as p, raster as r, regions as g, status as s
 from panelflow.operators.captions import fit_captions, overflow_rates
 from panelflow.schemas import MIN_CONFIDENCE
-from panelflow.session import materialize
+from panelflow.session import materialize, qualified
 from panelflow.sources import archives as source
 from panelflow.sources.model_json import scan_regions
 
+NO_ANSWER = "no answer"  # the error of an image that could not be read or was not answered
+
 __all__ = [
-    "ImageTranslator", "clean_regions", "plan_batches", "process_archives", "status", "diagnose_runs", "harvest",
+    "ImageTranslator", "clean_regions", "plan_batches", "process_archives", "apply_manual_reviews", "status", "diagnose_runs", "harvest",
     "fit_captions", "overflow_rates", "screen_pages",
 ]
 
@@ -57,30 +60,61 @@ def process_archives(
 
     ``skips`` lists (archive, image_number); they are looked up before the model is asked,
     and win over whatever it says. An archive with a cancelled entry or without any image
-    is not written. Outputs are named ``<stem>_ko.zip``.
+    is not written, nor is one with an entry that cannot be read; an image without an answer
+    has failed. Outputs are named ``<stem>_ko.zip`` in the folders they come from; of archives
+    that would share a name the first is written and the others are problems.
     """
+    folder = source.make_folder(spark, folder)
     listed = materialize(source.scan_archives(spark, path), "listing")
     broken = listed.where("problem is not null").select("archive", "problem")
     whole = listed.where("problem is null").drop("problem")
+    base = F.lit(qualified(spark, path) + "/")
+    below = F.when(F.col("archive").startswith(base), F.substring(F.col("archive"), F.length(base) + 1, F.length("archive"))).otherwise(
+        F.regexp_extract("archive", "([^/]+)$", 1))
+    named = materialize(whole.select("archive").distinct().withColumn("output", output_name(below)).withColumn(
+        "place", F.row_number().over(Window.partitionBy("output").orderBy("archive"))), "names")
+    taken = named.where("place > 1").select("archive", F.concat(F.lit("output name taken: "), "output").alias("problem"))
     empty = a.archives_without_images(whole)
     images = a.number_images(whole).select("archive", "entry_index", "image_number", "name")
     skipped = images.limit(0) if skips is None else images.join(skips, ["archive", "image_number"], "left_semi")
     asked = images.join(skipped.select("archive", "entry_index"), ["archive", "entry_index"], "left_anti")
-    contents = source.read_entries(asked)
+    contents = source.read_entries(asked).where("read_problem is null").drop("read_problem")
     answers = materialize(translator.translate(asked.join(contents, ["archive", "entry_index"])), "answers")
+    told = answers.withColumn("__told", F.lit(True))
     results = a.outcomes(
-        images.join(answers, ["archive", "entry_index"], "left")
-        .join(skipped.select("archive", "entry_index", F.lit(True).alias("skip")), ["archive", "entry_index"], "left"))
+        images.join(told, ["archive", "entry_index"], "left")
+        .join(skipped.select("archive", "entry_index", F.lit(True).alias("skip")), ["archive", "entry_index"], "left")
+        .withColumn("error", F.coalesce("error", F.when(F.col("__told").isNull() & F.col("skip").isNull(), NO_ANSWER))).drop("__told"))
     summary = a.archive_summary(results)
-    good = summary.where(~F.col("aborted")).select("archive")
+    good = summary.where(~F.col("aborted")).select("archive").join(named.where("place = 1"), "archive")
     new = results.where("outcome = 'translated'").select("archive", "entry_index", "new_data")
-    kept = whole.join(good, "archive", "left_semi")
+    kept = whole.join(good.select("archive", "output"), "archive")
     old = source.read_entries(kept.join(new, ["archive", "entry_index"], "left_anti"))
     entries = kept.join(
-        old.unionByName(new.withColumnRenamed("new_data", "data")), ["archive", "entry_index"]
-    ).withColumn("archive", F.regexp_replace(F.regexp_extract("archive", "([^/]+)$", 1), r"\.zip$", "_ko.zip"))
-    source.write_archives(entries, folder).write.format("noop").mode("overwrite").save()
-    return results.drop("new_data"), summary, broken.unionByName(empty)
+        old.unionByName(new.withColumnRenamed("new_data", "data").withColumn("read_problem", F.lit(None).cast("string"))), ["archive", "entry_index"]
+    ).drop("archive").withColumnRenamed("output", "archive")
+    written = materialize(source.write_archives(entries, folder), "written")
+    unread = written.where("problem is not null").select(F.col("archive").alias("output"), "problem").join(
+        named.where("place = 1"), "output").select("archive", "problem")
+    return results.drop("new_data"), summary, broken.unionByName(empty).unionByName(taken).unionByName(unread)
+
+
+def apply_manual_reviews(entries: DataFrame, reviewed: DataFrame, renderings: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Put the pictures of changed manual reviews into their archives: (written archives, renderings of no entry).
+
+    ``entries``: whole archives (archive, entry_index, name, data and the listing's metadata); ``reviewed``: the
+    rows of :func:`panelflow.operators.review.manual_review_round`; ``renderings``: (archive, image_number, data).
+    Only archives with a changed picture are written again, entry by entry.
+    """
+    folder = source.make_folder(entries.sparkSession, folder)
+    changed = reviewed.where("reviewed and changed").select("archive", "image_number")
+    wanted = renderings.join(changed, ["archive", "image_number"], "left_semi")
+    targets, unknown = a.review_targets(wanted.select("archive", "image_number"), a.number_images(entries))
+    updates = wanted.join(targets.select("archive", "image_number", "name"), ["archive", "image_number"]).select(
+        "archive", "name", "data", F.col("image_number").alias("seq"))
+    touched = entries.join(updates.select("archive").distinct(), "archive", "left_semi")
+    merged, _ = a.upsert_entries(touched, updates)
+    return materialize(source.write_archives(merged, folder), "written"), unknown
 
 
 def status(lines: DataFrame, skips: DataFrame | None = None) -> DataFrame:

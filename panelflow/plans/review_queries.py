@@ -31,23 +31,44 @@ def _regions(conv: Column, turn: Column, shift: int = 0) -> Column:
     return F.transform(F.sequence(F.lit(1), (turn % 3 + 1).cast("int")), region)
 
 
+def _attempts(plan: Column) -> Column:
+    """The plan's attempts, for some messages none at all, unknown, or more than any plan gives."""
+    which = (F.col("conv_id") * 10 + F.col("turn")) % 17
+    return F.when(plan["mode"] != "automatic", plan["max_attempts"]).when(which == 1, None).when(which == 2, 6).when(
+        which == 3, 9).when(which == 4, 0).when(which == 5, 5).otherwise(plan["max_attempts"])
+
+
+class DigestRenderer:
+    """Stands in for a picture renderer: the rendering is a digest of its own address; ``lost`` ones are not given."""
+
+    def __init__(self, lost: Column | None = None):
+        self.lost = F.lit(False) if lost is None else lost
+
+    def render(self, wanted: DataFrame) -> DataFrame:
+        return wanted.where(~self.lost).select(
+            "cache_key", F.encode(F.sha2(F.concat(F.lit("rendered "), "cache_key"), 256), "UTF-8").alias("rendered"))
+
+
 def _work(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "v_requests", heavy=True)
     plan = media.review_plan(F.col("review_mode"), F.col("skip"), F.col("attempts"))
     return rows.select(
         (F.col("conv_id") * 10 + F.col("turn")).alias("work_id"), F.md5("text").alias("content_hash"),
-        _regions(F.col("conv_id"), F.col("turn")).alias("regions"), plan["mode"].alias("mode"), plan["max_attempts"].alias("max_attempts"),
+        _regions(F.col("conv_id"), F.col("turn")).alias("regions"), plan["mode"].alias("mode"), _attempts(plan).alias("max_attempts"),
         (F.col("conv_id") % 19 == 0).alias("cancelled"))
 
 
 def review_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviewer = r.RuleReviewer(0.6, 0.1, fails=(F.col("work_id") % 11 == 0) & (F.col("attempt") == 1))
-    told = r.review_loop(_work(spark, sf_dir), reviewer)
+    work = _work(spark, sf_dir)
+    key = r.cache_key(F.col("content_hash"), r.region_signature(r.reliable_regions(F.col("regions").cast(r.REGIONS_TYPE))))
+    known = work.where(F.col("content_hash").startswith("1")).select(key.alias("cache_key"), F.encode(F.lit("known"), "UTF-8").alias("rendered"))
+    told = r.review_loop(work, reviewer, DigestRenderer(F.col("content_hash").startswith("0")), known.unionByName(known))
     return told.select(
         "work_id", "passed", "skipped", F.col("attempts").cast("bigint").alias("attempts"), "mode", "requires_user_review",
         "summary", F.array_join("issues", "|").alias("issues"), F.size("regions").cast("bigint").alias("n_regions"),
         F.round("average_confidence", 6).alias("average_confidence"), "final", "final_bypass",
-        F.col("n_rendered").cast("bigint").alias("n_rendered"))
+        F.col("n_rendered").cast("bigint").alias("n_rendered"), F.col("n_cached").cast("bigint").alias("n_cached"))
 
 
 def cache_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +112,7 @@ def manual_review_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = rows.where("turn < 4").select(*image)
     work = rows.select(*image, (F.col("conv_id") * 10 + F.col("turn")).alias("work_id"), F.md5("text").alias("content_hash"),
                        _regions(F.col("conv_id"), F.col("turn")).alias("regions"))
-    told = r.manual_review_round(status, requests.unionByName(requests), work, r.RuleReviewer())
+    told = r.manual_review_round(status, requests.unionByName(requests), work, r.RuleReviewer(), DigestRenderer())
     return told.select("archive", "image_number", "source", "state", "reviewed", F.coalesce("changed", F.lit(False)).alias("changed"))
 
 
@@ -118,20 +139,24 @@ WITH RECURSIVE work AS (
   SELECT conv_id * 10 + turn AS work_id,
     list_filter(list_transform(range(1, turn % 3 + 2), lambda i: {{'i': i, 'c': ((conv_id * 3 + turn * 5 + i * 7) % 10) / 10.0::DOUBLE}}), lambda x: x.c >= 0.45) AS rs,
     CASE WHEN review_mode = 'manual' THEN 'manual' WHEN skip THEN 'skipped' ELSE 'automatic' END AS mode,
-    CASE WHEN review_mode = 'manual' THEN 1 WHEN skip THEN 0 WHEN attempts <> floor(attempts) THEN 3 ELSE least(5, greatest(1, attempts)) END AS max_attempts
+    CASE WHEN review_mode = 'manual' THEN 1 WHEN skip THEN 0
+      WHEN (conv_id * 10 + turn) % 17 = 1 THEN {r.DEFAULT_ATTEMPTS} WHEN (conv_id * 10 + turn) % 17 = 2 THEN 6 WHEN (conv_id * 10 + turn) % 17 = 3 THEN 9
+      WHEN (conv_id * 10 + turn) % 17 = 4 THEN 0 WHEN (conv_id * 10 + turn) % 17 = 5 THEN 5
+      WHEN attempts <> floor(attempts) THEN 3 ELSE least(5, greatest(1, attempts)) END AS max_attempts, left(md5(text), 1) AS mark
   FROM v_requests WHERE conv_id % 19 <> 0
 ),
 loop AS (
   SELECT work_id, rs, mode, max_attempts, 0 AS k, FALSE AS passed, FALSE AS same, NULL::VARCHAR AS summary, []::VARCHAR[] AS issues,
-    len(rs) > 0 AND max_attempts > 0 AS going, 0 AS rendered FROM work
+    len(rs) > 0 AND max_attempts > 0 AS going, 0 AS rendered, 0 AS cached, mark FROM work
   UNION ALL
-  SELECT work_id, after, mode, max_attempts, k + 1, ok AND len(weak) = 0, NOT ok OR len(weak) = 0,
+  SELECT work_id, after, mode, max_attempts, k + 1, ok AND len(weak) = 0, mark <> '0' AND (NOT ok OR len(weak) = 0),
     CASE WHEN ok THEN len(weak) || ' weak' ELSE '{r.CALL_FAILED}' END,
     CASE WHEN ok THEN list_transform(weak, lambda x: 'weak: r' || x.i) ELSE ['{r.CALL_FAILED_ISSUE}'] END,
-    NOT (ok AND len(weak) = 0) AND k + 1 < max_attempts, rendered + 1
+    NOT (ok AND len(weak) = 0) AND k + 1 < max_attempts,
+    rendered + CASE WHEN mark = '0' OR mark = '1' AND k = 0 THEN 0 ELSE 1 END, cached + CASE WHEN mark = '1' AND k = 0 THEN 1 ELSE 0 END, mark
   FROM (
-    SELECT *, NOT (work_id % 11 = 0 AND k = 0) AS ok, list_filter(rs, lambda x: x.c < 0.6) AS weak,
-      CASE WHEN work_id % 11 = 0 AND k = 0 THEN rs ELSE
+    SELECT *, mark <> '0' AND NOT (work_id % 11 = 0 AND k = 0) AS ok, list_filter(rs, lambda x: x.c < 0.6) AS weak,
+      CASE WHEN mark = '0' OR work_id % 11 = 0 AND k = 0 THEN rs ELSE
         list_transform(rs, lambda x: CASE WHEN x.c < 0.6 THEN {{'i': x.i, 'c': round(least(1.0::DOUBLE, x.c + 0.1::DOUBLE), 6)}} ELSE x END) END AS after
     FROM loop WHERE going
   ) s
@@ -166,7 +191,7 @@ SELECT work_id, CASE WHEN mode = 'skipped' THEN NULL ELSE passed END AS passed,
   CASE WHEN mode = 'skipped' THEN '{r.SKIPPED_SUMMARY}' ELSE coalesce(summary, '{r.NO_RESULT}') END AS summary,
   array_to_string(issues, '|') AS issues, len(rs) AS n_regions, round(list_avg(list_transform(rs, lambda x: x.c)), 6) AS average_confidence,
   CASE WHEN len(rs) = 0 THEN 'none' WHEN passed THEN 'reuse' ELSE 'render' END AS final,
-  len(rs) > 0 AND NOT passed AND same AS final_bypass, rendered::BIGINT AS n_rendered
+  len(rs) > 0 AND NOT passed AND same AS final_bypass, rendered::BIGINT AS n_rendered, cached::BIGINT AS n_cached
 FROM ended""", "v_requests").replace("WITH ", "WITH RECURSIVE ", 1),
     "cache_plan": """
 WITH d AS (SELECT doc_id, md5(text) AS h, length(lang) AS sig FROM documents),

@@ -8,8 +8,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-BROADCAST_ROWS = 100_000
-
 
 def build_session(app_name: str = "panelflow", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on; ``conf`` overrides them."""
@@ -30,6 +28,13 @@ def build_session(app_name: str = "panelflow", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a full URI of the session's file systems, so that Python tasks read and write where Spark does."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(target).toString().rstrip("/")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir``.
 
@@ -37,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured.rstrip("/")
+        return qualified(spark, configured)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
@@ -83,11 +88,6 @@ def discard(df: DataFrame) -> None:
         _delete(df.sparkSession, folder)
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``rows`` rows; never counts further than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def spread(scan: DataFrame) -> DataFrame:
     """Give a plain table scan at least as many partitions as there are cores.
 

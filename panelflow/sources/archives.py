@@ -11,12 +11,16 @@ import io
 import posixpath
 import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelflow.session import qualified
+
 LISTING = (
     "archive string, entry_index bigint, name string, is_dir boolean, n_bytes bigint, date_time array<int>, "
     "compress_type int, external_attr bigint, entry_comment binary, extra binary, create_system int, archive_comment binary, problem string"
@@ -25,13 +29,17 @@ _META = ("date_time", "compress_type", "external_attr", "entry_comment", "extra"
 
 
 def _filesystem(path: str):
+    """(file system, path in it) of a full URI as Spark writes it: names stand unescaped."""
     from pyarrow import fs
 
-    if path.startswith("file:/") and not path.startswith("file:///"):
-        path = "file://" + path[len("file:"):]
-    if "://" not in path:
-        path = "file://" + path
-    return fs.FileSystem.from_uri(path)
+    scheme, _, rest = path.partition(":")
+    host, local = "", rest
+    if rest.startswith("//"):
+        host, _, local = rest[2:].partition("/")
+        local = f"/{local}"
+    if scheme == "file":
+        return fs.LocalFileSystem(), local
+    return fs.FileSystem.from_uri(f"{scheme}://{host}{quote(local)}")
 
 
 def _open(path: str) -> zipfile.ZipFile:
@@ -50,18 +58,18 @@ def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                          e.comment, e.extra, e.create_system, archive.comment, None)
                         for i, e in enumerate(archive.infolist())
                     ]
-            except (zipfile.BadZipFile, ValueError) as error:  # also what a too short file raises
+            except (zipfile.BadZipFile, ValueError, EOFError, NotImplementedError) as error:  # also what a too short file raises
                 rows = [(path, None, None, None, None, None, None, None, None, None, None, None, f"not a zip: {error}")]
             for start in range(0, len(rows), 10_000):
                 yield pd.DataFrame(rows[start:start + 10_000], columns=columns)
 
 
 def scan_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Every entry of the ``*.zip`` files under ``path``, in archive order, without its bytes.
+    """Every entry of the zip files (``.zip`` in any case) under ``path``, in archive order, without its bytes.
 
     A file that is no archive gives one row with ``problem``.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option(
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[zZ][iI][pP]").option(
         "recursiveFileLookup", "true").load(path).select("path")
     return files.mapInPandas(_list, schema=LISTING)
 
@@ -75,19 +83,25 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if archive is not None:
                         archive.close()
                     archive, opened = _open(row.archive), row.archive
-                info = archive.infolist()[row.entry_index]
-                data = b"" if info.is_dir() else archive.read(info)
-                yield pd.DataFrame({"archive": [row.archive], "entry_index": [row.entry_index], "data": [data]})
+                info, data, problem = archive.infolist()[row.entry_index], b"", None
+                try:
+                    data = b"" if info.is_dir() else archive.read(info)
+                except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, ValueError) as error:  # damaged, encrypted, unknown method
+                    data, problem = None, f"{type(error).__name__}: {error}"
+                yield pd.DataFrame({"archive": [row.archive], "entry_index": [row.entry_index], "data": [data], "read_problem": [problem]})
     finally:
         if archive is not None:
             archive.close()
 
 
 def read_entries(entries: DataFrame) -> DataFrame:
-    """(archive, entry_index) -> their bytes; the entries decide the tasks, not the archives."""
+    """(archive, entry_index) -> ``data``; the entries decide the tasks, not the archives.
+
+    An entry that cannot be read has no data but a ``read_problem``.
+    """
     wanted = entries.where("entry_index is not null").select("archive", "entry_index").repartition("archive", F.floor(F.col("entry_index") / 256))
     return wanted.sortWithinPartitions("archive", "entry_index").mapInPandas(
-        _read, schema="archive string, entry_index bigint, data binary")
+        _read, schema="archive string, entry_index bigint, data binary, read_problem string")
 
 
 def _entry(row) -> zipfile.ZipInfo:
@@ -106,7 +120,10 @@ class _Writer:
     def __init__(self, folder: str, archive: str):
         self.system, folder = _filesystem(folder)
         self.target = posixpath.join(folder, archive)
-        self.partial = posixpath.join(folder, f".{archive}.{uuid.uuid4().hex}.partial")
+        below, name = posixpath.split(self.target)
+        if below != folder:
+            self.system.create_dir(below, recursive=True)
+        self.partial = posixpath.join(below, f".{name}.{uuid.uuid4().hex}.partial")
         self.stream = self.system.open_output_stream(self.partial)
         self.zip = zipfile.ZipFile(io.BufferedWriter(_Raw(self.stream)), "w")
         self.count = 0
@@ -146,41 +163,50 @@ class _Raw(io.RawIOBase):
 def write_archives(entries: DataFrame, folder: str) -> DataFrame:
     """Rebuild archives from (archive, entry_index, name, data and the listing's metadata).
 
-    Entries stream in order into one file per archive; a failed or repeated task leaves
-    the finished file as it was. Returns (archive, n_entries); nothing is written before
-    an action runs on it.
+    Entries stream in order into one file per archive, whose name may have folders in front; a failed or
+    repeated task leaves the finished file as it was. Returns (archive, n_entries, problem): an archive with an
+    entry that has a ``read_problem`` is not written. Nothing is written before an action runs on the result.
     """
+    folder = qualified(entries.sparkSession, folder)
     for name, kind in (("date_time", "array<int>"), ("compress_type", "int"), ("external_attr", "bigint"),
-                       ("entry_comment", "binary"), ("extra", "binary"), ("create_system", "int"), ("archive_comment", "binary")):
+                       ("entry_comment", "binary"), ("extra", "binary"), ("create_system", "int"), ("archive_comment", "binary"), ("read_problem", "string")):
         if name not in entries.columns:
             entries = entries.withColumn(name, F.lit(None).cast(kind))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, writer, finished = None, None, []
+        current, writer, finished, bad = None, None, [], False
         try:
             for batch in batches:
                 for row in batch.itertuples(index=False):
                     if row.archive != current:
                         if writer is not None:
-                            finished.append((current, writer.close()))
+                            finished.append((current, writer.close(), None))
                             writer = None
-                        current, writer = row.archive, _Writer(folder, row.archive)
+                        current, writer, bad = row.archive, _Writer(folder, row.archive), False
+                    if bad:
+                        continue
+                    if row.read_problem is not None:
+                        writer.abandon()
+                        writer, bad = None, True
+                        finished.append((current, None, f"{row.name}: {row.read_problem}"))
+                        continue
                     writer.add(row)
             if writer is not None:
-                finished.append((current, writer.close()))
+                finished.append((current, writer.close(), None))
                 writer = None
         finally:
             if writer is not None:
                 writer.abandon()
         if finished:
-            yield pd.DataFrame(finished, columns=["archive", "n_entries"])
+            yield pd.DataFrame(finished, columns=["archive", "n_entries", "problem"]).astype({"n_entries": "Int64"})
 
-    ordered = entries.select("archive", "entry_index", "name", "data", *_META, "archive_comment")
+    ordered = entries.select("archive", "entry_index", "name", "data", *_META, "archive_comment", "read_problem")
     return ordered.repartition("archive").sortWithinPartitions("archive", "entry_index").mapInPandas(
-        write, schema="archive string, n_entries bigint")
+        write, schema="archive string, n_entries bigint, problem string")
 
 
-def make_folder(folder: str) -> str:
+def make_folder(spark: SparkSession, folder: str) -> str:
+    folder = qualified(spark, folder)
     system, local = _filesystem(folder)
     system.create_dir(local, recursive=True)
     return folder

@@ -38,7 +38,7 @@ def test_scan_numbers_images_in_archive_order(spark, folder):
 
 
 def test_rebuild_keeps_everything_but_the_replaced_entry(spark, folder, tmp_path):
-    out = source.make_folder(str(tmp_path / "out"))
+    out = source.make_folder(spark, str(tmp_path / "out"))
     listed = source.scan_archives(spark, str(folder)).where("archive like '%one.zip'")
     whole = listed.join(source.read_entries(listed), ["archive", "entry_index"])
     updates = whole.where("name = 'pages/001.jpeg'").select("archive", "name", F.encode(F.lit("neu"), "UTF-8").alias("data"), F.lit(1).alias("seq"))
@@ -46,7 +46,7 @@ def test_rebuild_keeps_everything_but_the_replaced_entry(spark, folder, tmp_path
     assert unknown.count() == 0
     named = merged.withColumn("archive", F.lit("one_ko.zip"))
     for _ in range(2):  # writing again gives the same file
-        assert [tuple(r) for r in source.write_archives(named, out).collect()] == [("one_ko.zip", 5)]
+        assert [tuple(r) for r in source.write_archives(named, out).collect()] == [("one_ko.zip", 5, None)]
     with zipfile.ZipFile(folder / "one.zip") as old, zipfile.ZipFile(tmp_path / "out" / "one_ko.zip") as new:
         assert new.testzip() is None and new.comment == b"hello"
         assert [(i.filename, i.date_time, i.compress_type, i.external_attr, i.comment) for i in new.infolist()] == [
@@ -85,3 +85,45 @@ def test_acknowledgement_wording(spark):
     got = {r.request_id: r.message for r in a.acknowledgement_lines(df).collect()}
     assert got[1] == "ZIP 이미지 저장 확인 · <zip>" and got[2] == "ZIP 이미지 저장 실패 · " + "x" * 500
     assert got[3] == "페이지 이미지 교체 확인 · <img>" and got[4] == "페이지 이미지 교체 실패 · 원인 미상" and 0 not in got
+
+
+def test_damaged_entries_and_equal_names_are_problem_rows(spark, tmp_path):
+    from panelflow.plans import jobs
+
+    class Keep:
+        def translate(self, images):
+            return images.select("archive", "entry_index", F.encode(F.lit("neu"), "UTF-8").alias("new_data"), (F.col("name") == "a.png").alias("changed"),
+                                 F.lit(1).alias("region_count"), F.lit(False).alias("review_required"), F.lit(1).alias("attempts"),
+                                 F.lit(None).cast("string").alias("error"), F.lit(False).alias("cancelled"))
+
+    names = ["in/my vol.zip", "in/x/한국 [1].zip", "in/y/한국 [1].zip", "in/p%41.ZIP", "in/same.zip", "in/same.ZIP", "in/hurt.zip"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("a.png", f"first of {name}")
+            z.writestr("b.png", f"second of {name}")
+    hurt = tmp_path / "in/hurt.zip"
+    hurt.write_bytes(hurt.read_bytes().replace(b"second", b"damage", 1))
+    results, summary, problems = jobs.process_archives(spark, str(tmp_path / "in"), str(tmp_path / "out"), Keep())
+    made = {str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*.zip")}
+    assert made == {"my vol_ko.zip", "x/한국 [1]_ko.zip", "y/한국 [1]_ko.zip", "p%41_ko.zip", "same_ko.zip"}
+    with zipfile.ZipFile(tmp_path / "out/y/한국 [1]_ko.zip") as z:
+        assert [z.read(i) for i in z.infolist()] == [b"neu", b"second of in/y/" + "한국 [1].zip".encode()]
+    told = sorted((r.archive.rsplit("/", 1)[1], r.problem.split(":")[0]) for r in problems.collect())
+    assert told == [("hurt.zip", "b.png"), ("same.zip", "output name taken")]
+    failed = [(r.archive.rsplit("/", 1)[1], r.name, r.error) for r in results.where("outcome = 'failed'").collect()]
+    assert failed == [("hurt.zip", "b.png", jobs.NO_ANSWER)] and summary.count() == len(names)
+
+
+def test_changed_manual_reviews_replace_their_entry(spark, folder, tmp_path):
+    from panelflow.plans import jobs
+
+    listed = source.scan_archives(spark, str(folder)).where("problem is null").drop("problem")
+    whole = listed.join(source.read_entries(listed), ["archive", "entry_index"]).withColumn("archive", F.regexp_extract("archive", "([^/]+)$", 1))
+    reviewed = spark.createDataFrame([("one.zip", 1, True, True), ("one.zip", 2, True, False), ("two.zip", 7, True, True)], "archive string, image_number int, reviewed boolean, changed boolean")
+    pictures = spark.createDataFrame([("one.zip", 1, bytearray(b"new")), ("one.zip", 2, bytearray(b"no")), ("two.zip", 7, bytearray(b"no"))], "archive string, image_number int, data binary")
+    written, unknown = jobs.apply_manual_reviews(whole, reviewed, pictures, str(tmp_path / "out"))
+    assert [tuple(r) for r in written.collect()] == [("one.zip", 5, None)]
+    assert [tuple(r) for r in unknown.collect()] == [("two.zip", 7)]
+    with zipfile.ZipFile(tmp_path / "out" / "one.zip") as z:
+        assert [z.read(i) for i in z.infolist()] == [b"", b"new", b"read me", b"one", b"no suffix"]
