@@ -11,6 +11,7 @@ from panelflow.functions import geometry as g
 from panelflow.functions.values import clamp, half_up, strip_space
 from panelflow.operators.folds import ordered_fold
 from panelflow.operators.ordered import numbered
+from panelflow.session import materialize
 
 # What a merged crop may be at most.
 MAX_MEMBERS = 3
@@ -18,8 +19,8 @@ MAX_WIDTH_SHARE, MAX_HEIGHT_SHARE, MAX_AREA_SHARE = 0.48, 0.38, 0.16
 # A sheet holds up to four tiles in two columns, 32 pixels apart.
 MAX_TILES, MAX_SIDE, GUTTER, MIN_GUTTER = 4, 4096, 32, 12
 
-HOT_IMAGE_REGIONS = 100_000
 CHUNK = 4096
+CELL, CELLS = 512, 32  # pixels of a look-up cell at least, and cells along a page at most
 
 
 def crop_candidates(regions: DataFrame, image_width: Column, image_height: Column, key: str = "image_id") -> DataFrame:
@@ -46,12 +47,15 @@ class _MergeNearby:
     """Folds boxes into groups, newest group first, growing while scanning.
 
     A group that can never merge again (full, or already as large as allowed) is
-    given out at once, so the state holds open groups only.
+    given out at once, so the state holds open groups only. They are looked up by the
+    grid cells they touch, so a box meets only groups nearby.
     """
 
     def __init__(self, at: dict[str, int]):
         self.at = at
-        self.open: list[tuple] = []
+        self.open: dict[int, tuple] = {}
+        self.cells: dict[tuple[int, int], set[int]] = {}
+        self.next = 0
 
     @staticmethod
     def _fits(box: tuple, page: tuple) -> bool:
@@ -61,13 +65,31 @@ class _MergeNearby:
             and w * h <= page[0] * page[1] * MAX_AREA_SHARE
         )
 
+    @staticmethod
+    def _touched(box: tuple, page: tuple) -> Iterator[tuple[int, int]]:
+        across, down = (max(CELL, -(-int(side) // CELLS)) for side in page)
+        for x in range(box[0] // across, box[2] // across + 1):
+            for y in range(box[1] // down, box[3] // down + 1):
+                yield x, y
+
+    def _near(self, box: tuple, page: tuple, below: int) -> set[int]:
+        near: set[int] = set()
+        for cell in self._touched(box, page):
+            near |= self.cells.get(cell, near)
+        return {i for i in near if i < below}
+
     def step(self, row: tuple) -> Iterator[tuple]:
         at = self.at
         page = (row[at["image_width"]], row[at["image_height"]])
         box = tuple(row[at[e]] for e in g.EDGES)
         newest, members = row[at["ord"]], (row[at["ord"]],)
-        index = len(self.open) - 1
-        while index >= 0:
+        if not self._fits(box, page):  # nor does anything that contains it
+            yield newest, *box, list(members)
+            return
+        near = self._near(box, page, self.next)
+        while near:
+            index = max(near)
+            near.discard(index)
             _, other, theirs = self.open[index]
             if (
                 box[0] < other[2] and box[2] > other[0] and box[1] < other[3] and box[3] > other[1]
@@ -77,14 +99,19 @@ class _MergeNearby:
                 if self._fits(joint, page):
                     box, members = joint, theirs + members
                     del self.open[index]
-            index -= 1
-        if len(members) >= MAX_MEMBERS or not self._fits(box, page):
+                    for cell in self._touched(other, page):
+                        self.cells[cell].discard(index)
+                    near |= self._near(box, page, index)
+        if len(members) >= MAX_MEMBERS:
             yield newest, *box, list(members)
         else:
-            self.open.append((newest, box, members))
+            self.open[self.next] = (newest, box, members)
+            for cell in self._touched(box, page):
+                self.cells.setdefault(cell, set()).add(self.next)
+            self.next += 1
 
     def finish(self) -> Iterator[tuple]:
-        for newest, box, members in self.open:
+        for newest, box, members in self.open.values():
             yield newest, *box, list(members)
 
 
@@ -109,33 +136,27 @@ def _island(boxes: DataFrame, keys: list[str], low: str, high: str, out: str) ->
     return boxes.join(starts, [*keys, low])
 
 
-def plan_crops(
-    regions: DataFrame, image_width: Column, image_height: Column, key: str = "image_id",
-    hot_regions: int = HOT_IMAGE_REGIONS,
-) -> DataFrame:
+def plan_crops(regions: DataFrame, image_width: Column, image_height: Column, key: str = "image_id") -> DataFrame:
     """(key, crop_index, left, top, right, bottom, members): crops from top to bottom.
 
-    ``members`` are the ``ord`` of the up to three regions inside, in their order. An image
-    with more than ``hot_regions`` regions is first cut along empty rows and columns
-    into islands, which cannot influence each other, and each island is one fold key.
+    ``members`` are the ``ord`` of the up to three regions inside, in their order. Every image
+    is cut along empty rows into islands, which cannot influence each other. An
+    island of one box is a crop as it is; each of the others is one key of the fold.
     """
     boxes = crop_candidates(regions, image_width, image_height, key)
+    keys = [key, "__island"]
+    boxes = materialize(_island(boxes, [key], "top", "bottom", "__island"), "islands")
     types = dict(boxes.dtypes)
-    hot = boxes.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_regions).select(key)
-    keys = [key]
-    if not hot.isEmpty():
-        keys = [key, "__ix", "__iy"]
-        crowded = boxes.join(hot, key, "left_semi")
-        crowded = _island(_island(crowded, [key], "left", "right", "__ix"), [key, "__ix"], "top", "bottom", "__iy")
-        rest = boxes.join(hot, key, "left_anti").withColumn("__ix", F.lit(-1).cast("bigint")).withColumn(
-            "__iy", F.lit(-1).cast("bigint"))
-        boxes = rest.unionByName(crowded)
-    at = {c: i for i, c in enumerate(boxes.columns)}
-    grouped = ordered_fold(
-        boxes, keys, ["ord"], lambda: _MergeNearby(at), ["newest", *g.EDGES, "members"],
-        ", ".join([*(f"{k} {types.get(k, 'bigint')}" for k in keys), "newest bigint",
-                   *(f"{e} bigint" for e in g.EDGES), "members array<bigint>"]),
-    ).drop("__ix", "__iy")
+    whole = boxes.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col("ord").alias("newest"), *g.EDGES)).alias("__box"))
+    single = whole.where("n = 1").select(*keys, "__box.*").withColumn("members", F.array("newest"))
+    shared = boxes.join(whole.where("n > 1").select(*keys), keys, "left_semi").select(*boxes.columns)
+    at = {c: i for i, c in enumerate(shared.columns)}
+    folded = ordered_fold(
+        shared, keys, ["ord"], lambda: _MergeNearby(at), ["newest", *g.EDGES, "members"],
+        ", ".join([*(f"{k} {types[k]}" for k in keys), "newest bigint", *(f"{e} bigint" for e in g.EDGES), "members array<bigint>"]),
+    )
+    grouped = single.unionByName(folded).drop("__island")
     return numbered(grouped, [key], ["top", "left", "newest"], "crop_index", F.col("top")).select(
         key, "crop_index", *g.EDGES, "members"
     )

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def test_a_chain_does_not_become_one_crop(spark):
     assert len(got) >= 3 and all(len(x.members) <= 3 and x.right - x.left <= 480 for x in got)
 
 
-def test_random_pages_match_the_loop_also_when_cut_into_islands(spark):
+def test_random_pages_match_the_loop(spark):
     rng = random.Random(5)
     rows = []
     for image in range(8):
@@ -67,8 +68,22 @@ def test_random_pages_match_the_loop_also_when_cut_into_islands(spark):
     for x in c.crop_candidates(df, F.lit(2400), F.lit(3000)).collect():
         boxes.setdefault(x.image_id, []).append((x.ord, x.left, x.top, x.right, x.bottom))
     want = {(i, *g[:5], tuple(g[5])) for i, b in boxes.items() for g in loop(sorted(b), 2400, 3000)}
-    for hot in (100_000, 0, 15):
-        assert {(x.image_id, x.crop_index, x.left, x.top, x.right, x.bottom, tuple(x.members)) for x in plan(df, 2400, 3000, hot_regions=hot)} == want
+    assert {(x.image_id, x.crop_index, x.left, x.top, x.right, x.bottom, tuple(x.members)) for x in plan(df, 2400, 3000)} == want
+
+
+def test_the_fold_meets_only_boxes_nearby():
+    rng = random.Random(8)
+    places = {n: i for i, n in enumerate(("ord", "left", "top", "right", "bottom", "image_width", "image_height"))}
+
+    def seconds(n, side):
+        fold, began = c._MergeNearby(places), time.perf_counter()
+        for i in range(n):
+            x, y = rng.randrange(side), rng.randrange(side)
+            list(fold.step((i, x, y, x + 60, y + 60, side, side)))
+        return time.perf_counter() - began
+
+    seconds(1_000, 2_000)
+    assert seconds(40_000, 20_000) < 40 * max(seconds(4_000, 6_300), 0.02)  # as many boxes to the area
 
 
 def pack_loop(sizes, limit=4):
