@@ -3,7 +3,8 @@
 After Kiveris et al., "Connected Components in MapReduce and Beyond" (2014):
 every round only groups edges by an end point and joins the minimum back, so no
 neighbourhood is ever gathered, and the number of rounds grows with the
-logarithm of the graph, not with its diameter.
+logarithm of the graph, not with its diameter. What is joined is written first:
+it is computed once, and adaptive execution can split the edges of a hub.
 """
 
 from __future__ import annotations
@@ -22,18 +23,20 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     around = _both_ways(edges)
-    lowest = around.groupBy("g", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (
-        around.filter("v > u").join(lowest, ["g", "u"])
-        .select("g", F.col("v").alias("u"), F.col("m").alias("v"))
-    )
+    lowest = materialize(around.groupBy("g", "u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
+    linked = materialize(
+        around.filter("v > u").join(lowest, ["g", "u"]).select("g", F.col("v").alias("u"), F.col("m").alias("v")), "stars")
+    discard(lowest)
+    return linked
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select("g", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lowest = down.groupBy("g", "u").agg(F.min("v").alias("m"))
+    lowest = materialize(down.groupBy("g", "u").agg(F.min("v").alias("m")), "lowest")
     linked = down.join(lowest, ["g", "u"]).filter("v <> m").select("g", F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionByName(lowest.select("g", "u", F.col("m").alias("v"))).distinct()
+    following = materialize(linked.unionByName(lowest.select("g", "u", F.col("m").alias("v"))).distinct(), "edges")
+    discard(lowest)
+    return following
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -44,7 +47,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = materialize(edges.filter("u <> v").distinct(), "edges")
     fingerprint = None
     while True:
-        following = materialize(_small_star(_large_star(current)), "edges")
+        stars = _large_star(current)
+        following = _small_star(stars)
+        discard(stars)
         seen = following.agg(
             F.count(F.lit(1)).alias("n"),
             F.bit_xor(F.xxhash64("g", "u", "v")).alias("x"),

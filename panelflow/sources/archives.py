@@ -13,13 +13,13 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelflow.session import qualified
+from panelflow.sources.files import file_system
 
 LISTING = (
     "archive string, entry_index bigint, name string, is_dir boolean, n_bytes bigint, date_time array<int>, "
@@ -28,22 +28,8 @@ LISTING = (
 _META = ("date_time", "compress_type", "external_attr", "entry_comment", "extra", "create_system")
 
 
-def _filesystem(path: str):
-    """(file system, path in it) of a full URI as Spark writes it: names stand unescaped."""
-    from pyarrow import fs
-
-    scheme, _, rest = path.partition(":")
-    host, local = "", rest
-    if rest.startswith("//"):
-        host, _, local = rest[2:].partition("/")
-        local = f"/{local}"
-    if scheme == "file":
-        return fs.LocalFileSystem(), local
-    return fs.FileSystem.from_uri(f"{scheme}://{host}{quote(local)}")
-
-
 def _open(path: str) -> zipfile.ZipFile:
-    system, local = _filesystem(path)
+    system, local = file_system(path)
     return zipfile.ZipFile(system.open_input_file(local))
 
 
@@ -118,7 +104,7 @@ class _Writer:
     """One archive under construction; renamed into place only when complete."""
 
     def __init__(self, folder: str, archive: str):
-        self.system, folder = _filesystem(folder)
+        self.system, folder = file_system(folder)
         self.target = posixpath.join(folder, archive)
         below, name = posixpath.split(self.target)
         if below != folder:
@@ -207,6 +193,6 @@ def write_archives(entries: DataFrame, folder: str) -> DataFrame:
 
 def make_folder(spark: SparkSession, folder: str) -> str:
     folder = qualified(spark, folder)
-    system, local = _filesystem(folder)
+    system, local = file_system(folder)
     system.create_dir(local, recursive=True)
     return folder
