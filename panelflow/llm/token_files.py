@@ -24,7 +24,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +31,8 @@ from tokenizers import Tokenizer
 
 from panelflow.llm.bpe import BEYOND_LATIN, byte_symbols, unassigned
 from panelflow.llm.elias_fano import EliasFano
-from panelflow.session import materialize, scratch_path
+from panelflow.session import materialize, qualified, scratch_path
+from panelflow.sources.files import file_system
 
 MAGIC = b"PFTOKEN1"
 _HEAD = struct.Struct("<8sQQQB7x")  # magic, documents, of them without identifier, ids, bytes an id
@@ -108,7 +108,7 @@ def _encoder(path: str) -> LibraryEncoder:
 def _writer(tokenizer: str, folder: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = _encoder(tokenizer), TaskContext.get().partitionId()
-        store, place = fs.FileSystem.from_uri(folder)
+        store, place = file_system(folder)
         store.create_dir(place, recursive=True)
         name = f"ids-{shard:06d}-{uuid.uuid4().hex}.bin"
         mark = np.array([end_id], f"<u{encoder.width}").tobytes()
@@ -148,6 +148,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
     in ascending order of their integer identifiers, rows without one first, equal ones in the order of their texts'
     hashes. ``base`` is the number of ids in all earlier files. An empty table gives no files.
     """
+    folder = qualified(docs.sparkSession, folder)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("body"))
     count = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(count, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "body")
@@ -161,7 +162,7 @@ class TokenFile:
     """A written file: the ids of any of its documents."""
 
     def __init__(self, path: str):
-        store, place = fs.FileSystem.from_uri(path)
+        store, place = file_system(path)
         self.file = store.open_input_file(place)
         size = self.file.size()
         magic, self.n_docs, self.missing, self.n_tokens, self.width = _HEAD.unpack(self._read(size - _HEAD.size, _HEAD.size))
