@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.functions.text import natural_key
+from panelflow.session import materialize
 from panelflow.operators.ordered import block_of, numbered
 
 # What counts as an image, and the wording of outcomes.
@@ -35,14 +36,13 @@ def number_images(entries: DataFrame, key: str = "archive", block: Column | None
 def natural_positions(rows: DataFrame, keys: list[str], label: str, tie: str, out: str = "position") -> DataFrame:
     """Number rows per key in natural order of ``label``.
 
-    Cut into blocks by the first characters of the leading text, so one large key does
-    not have to be sorted by a single task.
+    The rows are dealt out by sampled ranges of the whole order, so a key of any size is
+    sorted by as many tasks as it needs; each range is one block of the numbering.
     """
-    lead = F.lower(F.regexp_extract(label, r"^\D*", 0))
-    block = F.lit(0).cast("bigint")
-    for i in (1, 2, 3):
-        block = block * 0x10000 + F.coalesce(F.ascii(F.substring(lead, i, 1)), F.lit(0)).cast("bigint")
-    return numbered(rows, keys, [natural_key(F.col(label)), tie], out, block)
+    order = [natural_key(F.col(label)), F.col(tie)]
+    ranged = materialize(
+        rows.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id().cast("bigint")), "ranges")
+    return numbered(ranged, keys, order, out, F.col("__range")).drop("__range")
 
 
 def archives_without_images(entries: DataFrame, key: str = "archive") -> DataFrame:

@@ -3,8 +3,9 @@
 After Kiveris et al., "Connected Components in MapReduce and Beyond" (2014):
 every round only groups edges by an end point and joins the minimum back, so no
 neighbourhood is ever gathered, and the number of rounds grows with the
-logarithm of the graph, not with its diameter. What is joined is written first:
-it is computed once, and adaptive execution can split the edges of a hub.
+logarithm of the graph, not with its diameter. What is joined is kept while a
+round lasts: it is computed once, and adaptive execution can split the edges of
+a hub. Each round's edges are written, which ends its lineage.
 """
 
 from __future__ import annotations
@@ -21,22 +22,17 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     )
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     around = _both_ways(edges)
-    lowest = materialize(around.groupBy("g", "u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
-    linked = materialize(
-        around.filter("v > u").join(lowest, ["g", "u"]).select("g", F.col("v").alias("u"), F.col("m").alias("v")), "stars")
-    discard(lowest)
-    return linked
+    lowest = around.groupBy("g", "u").agg(F.least(F.min("v"), F.col("u")).alias("m")).persist()
+    return around.filter("v > u").join(lowest, ["g", "u"]).select("g", F.col("v").alias("u"), F.col("m").alias("v")).persist(), lowest
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     down = edges.select("g", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lowest = materialize(down.groupBy("g", "u").agg(F.min("v").alias("m")), "lowest")
+    lowest = down.groupBy("g", "u").agg(F.min("v").alias("m")).persist()
     linked = down.join(lowest, ["g", "u"]).filter("v <> m").select("g", F.col("v").alias("u"), F.col("m").alias("v"))
-    following = materialize(linked.unionByName(lowest.select("g", "u", F.col("m").alias("v"))).distinct(), "edges")
-    discard(lowest)
-    return following
+    return linked.unionByName(lowest.select("g", "u", F.col("m").alias("v"))).distinct(), lowest
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -47,9 +43,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = materialize(edges.filter("u <> v").distinct(), "edges")
     fingerprint = None
     while True:
-        stars = _large_star(current)
-        following = _small_star(stars)
-        discard(stars)
+        stars, above = _large_star(current)
+        smaller, below = _small_star(stars)
+        following = materialize(smaller, "edges")
+        for kept in (below, stars, above):
+            kept.unpersist()
         seen = following.agg(
             F.count(F.lit(1)).alias("n"),
             F.bit_xor(F.xxhash64("g", "u", "v")).alias("x"),

@@ -80,7 +80,9 @@ def review_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank of each part name in natural order inside its brand, and output names."""
-    label = F.concat(F.col("p_name"), F.lit(" "), (F.col("p_partkey") % 1000).cast("string"), F.lit("-"), F.col("p_size").cast("string"))
+    number = (F.col("p_partkey") % 1000).cast("string")
+    label = F.when(F.col("p_brand") == "Brand#11", F.concat(F.lit("page "), number)).otherwise(  # one brand of nothing but numbers
+        F.concat(F.col("p_name"), F.lit(" "), number, F.lit("-"), F.col("p_size").cast("string")))
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.upper(label).alias("label"))
     return a.natural_positions(rows, ["p_brand"], "label", "p_partkey").select(
         "p_partkey", "position",
@@ -193,7 +195,7 @@ SELECT r.archive, r.image_number, i.name FROM (SELECT DISTINCT o_custkey AS arch
 LEFT JOIN images i ON i.archive = r.archive AND i.image_number = r.image_number""", "v_entries"),
     "natural_order": """
 WITH l AS (
-  SELECT p_partkey, p_brand, upper(p_name || ' ' || (p_partkey % 1000) || '-' || p_size) AS label FROM part
+  SELECT p_partkey, p_brand, upper(CASE WHEN p_brand = 'Brand#11' THEN 'page ' || (p_partkey % 1000) ELSE p_name || ' ' || (p_partkey % 1000) || '-' || p_size END) AS label FROM part
 ),
 k AS (
   SELECT *, list_transform(regexp_extract_all(lower(label), '\\D*\\d*'),

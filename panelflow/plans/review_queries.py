@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,31 @@ def review_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_rendered").cast("bigint").alias("n_rendered"), F.col("n_cached").cast("bigint").alias("n_cached"))
 
 
+def _judge(batch: pd.DataFrame) -> pd.DataFrame:
+    """What RuleReviewer(0.6, 0.1) does, as a Python model."""
+    told = []
+    for regions in batch["regions"]:
+        rows = [r if isinstance(r, dict) else r.asDict() for r in regions]
+        weak = [r for r in rows if (r["confidence"] or 0.0) < 0.6]
+        raised = [{**r, "confidence": round(min(1.0, (r["confidence"] or 0.0) + 0.1), 6)} if (r["confidence"] or 0.0) < 0.6 else r for r in rows]
+        told.append((not weak, f"{len(weak)} weak", [f"weak: {r['original']}" for r in weak], raised))
+    passed, summary, issues, regions = zip(*told) if told else ((), (), (), ())
+    return pd.DataFrame({"work_id": batch["work_id"].to_numpy(), "passed": passed, "summary": summary, "issues": issues, "regions": regions})
+
+
+def _picture(batch: pd.DataFrame) -> pd.Series:
+    if batch["content_hash"].str.startswith("0").any():
+        raise ValueError("no picture")
+    return batch["cache_key"].map(str.encode)
+
+
+def function_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loop with a reviewer and a renderer that are Python functions, the latter failing for some pictures."""
+    told = r.review_loop(_work(spark, sf_dir), r.FunctionReviewer(_judge), r.FunctionRenderer(_picture))
+    return told.select("work_id", "passed", F.col("attempts").cast("bigint").alias("attempts"), "summary", F.array_join("issues", "|").alias("issues"),
+                       F.size("regions").cast("bigint").alias("n_regions"), "final", F.col("n_rendered").cast("bigint").alias("n_rendered"))
+
+
 def cache_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which work items find their rendering and which addresses have to be rendered."""
     rows = table(spark, sf_dir, "documents").select(
@@ -164,6 +190,7 @@ loop AS (
 
 QUERIES = {
     "review_outcomes": review_outcomes,
+    "function_models": function_models,
     "cache_plan": cache_plan,
     "audited_regions": audited_regions,
     "lexicon_translation": lexicon_translation,
@@ -183,7 +210,15 @@ _T = prompts.TEMPLATES
 _JSON = "'[' || array_to_string(list_transform(range(1, turn % 3 + 2), lambda i: '{\"original\":\"r' || i || '\",\"translated\":\"t' || i || '\"}'), ',') || ']'"
 _FENCE = f"'{_T['untrusted']}' || chr(10) || '<{_T['fence']}>' || chr(10) || {_JSON} || chr(10) || '</{_T['fence']}>'"
 
+_FUNCTIONS = _LOOP.replace("work_id % 11 = 0 AND k = 0", "FALSE").replace("mark = '1' AND k = 0", "FALSE")
+
 ORACLES = {
+    "function_models": with_views(_FUNCTIONS.replace("WITH RECURSIVE", "WITH", 1) + f"""
+, ended AS (SELECT * FROM loop WHERE NOT going)
+SELECT work_id, CASE WHEN mode = 'skipped' THEN NULL ELSE passed END AS passed, k::BIGINT AS attempts,
+  CASE WHEN mode = 'skipped' THEN '{r.SKIPPED_SUMMARY}' ELSE coalesce(summary, '{r.NO_RESULT}') END AS summary, array_to_string(issues, '|') AS issues,
+  len(rs) AS n_regions, CASE WHEN len(rs) = 0 THEN 'none' WHEN passed THEN 'reuse' ELSE 'render' END AS final, rendered::BIGINT AS n_rendered
+FROM ended""", "v_requests").replace("WITH ", "WITH RECURSIVE ", 1),
     "review_outcomes": with_views(_LOOP.replace("WITH RECURSIVE", "WITH", 1) + f"""
 , ended AS (SELECT * FROM loop WHERE NOT going)
 SELECT work_id, CASE WHEN mode = 'skipped' THEN NULL ELSE passed END AS passed, mode = 'skipped' AS skipped, k::BIGINT AS attempts, mode,

@@ -31,6 +31,12 @@ def live_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.run_live_status(s.progress_stream(_lines(spark, sf_dir)))
 
 
+def attributed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line with its task's source, kept as keyed state; equals the batch job's."""
+    told = _run(s.attributed_stream(s.progress_stream(_lines(spark, sf_dir))), "attributed")
+    return told.where("not timed_out").select("seq", "task_number", "source", "source_label", "row_key", "name")
+
+
 @contextmanager
 def _state_partitions(spark: SparkSession):
     """State partitions are fixed when a stream first starts: no more than cores for a one-off run."""
@@ -78,12 +84,14 @@ def acknowledged_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "live_status": live_status,
+    "attributed_lines": attributed_lines,
     "released_entries": released_entries,
     "acknowledged_requests": acknowledged_requests,
 }
 
 ORACLES = {
     "live_status": STATUS["latest_status"],
+    "attributed_lines": STATUS["attributed_sources"],
     "released_entries": with_views("""
 WITH e AS (
   SELECT o_orderkey % 50 AS archive, o_orderkey // 50 AS entry_index, 'p' || o_orderkey AS name FROM orders

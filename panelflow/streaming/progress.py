@@ -49,11 +49,20 @@ ATTRIBUTED = (
 _COLUMNS = [c.split()[0] for c in ATTRIBUTED.split(", ")]
 
 
+def _begins(detail: str) -> bool:
+    return detail.endswith("시작") or " 시작 ·" in detail
+
+
+def _ends(line) -> bool:
+    return line.terminal or " 완료 ·" in line.detail or line.detail.endswith("완료")
+
+
 class TaskSource(StatefulProcessor):
     """Remembers each task's source and its running pass.
 
     Lines before a task's first source are dropped, as in the batch job. A pass whose
-    limit runs out in event time without an end gives one extra row with ``timed_out``.
+    limit runs out in event time without an end, or before its end, gives one extra row
+    with ``timed_out``.
     What one call holds is one task's lines of one trigger, which the source's
     ``maxFilesPerTrigger`` / ``maxBytesPerTrigger`` bounds; for the status table itself use
     :func:`live_status`, which has no such group.
@@ -72,14 +81,19 @@ class TaskSource(StatefulProcessor):
         lines = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
         source = self.source.get() if self.source.exists() else None
         deadline = None
+        running = self.running.get() if self.running.exists() else None
         out = []
         for line in lines.itertuples(index=False):
             if line.source is not None and not pd.isna(line.source):
                 source = (line.source, line.source_label)
             detail = line.detail
-            if detail.endswith("시작") or " 시작 ·" in detail:
-                deadline = (int(line.image_number), detail, int(line.event_at.timestamp() * 1000) + self.limit_ms)
-            elif line.terminal or " 완료 ·" in detail or detail.endswith("완료"):
+            if _begins(detail) or _ends(line):
+                if running and line.event_at.timestamp() * 1000 > running[2]:  # its timer has not run yet
+                    out.append((key[0], None, None, running[0], running[1], "오류", "error", False, *(source or (None, None)), True))
+                running = None
+            if _begins(detail):
+                deadline = running = (int(line.image_number), detail, int(line.event_at.timestamp() * 1000) + self.limit_ms)
+            elif _ends(line):
                 deadline = False
             if source is not None:
                 out.append((key[0], line.seq, line.time, line.image_number, detail, line.stage, line.state, line.terminal,
