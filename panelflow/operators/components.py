@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.session import discard, materialize
+from panelflow.session import discard, files_for, materialize
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -35,28 +35,26 @@ def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return linked.unionByName(lowest.select("g", "u", F.col("m").alias("v"))).distinct(), lowest
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("g", "u", "v"))).first())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(g, u, v) edges -> (g, node, component): the least node reachable inside group ``g``.
 
     Nodes without an edge do not appear; they are their own component.
     """
     current = materialize(edges.filter("u <> v").distinct(), "edges")
-    fingerprint = None
-    while True:
+    seen, before = _fingerprint(current), None
+    while seen != before:
         stars, above = _large_star(current)
         smaller, below = _small_star(stars)
-        following = materialize(smaller, "edges")
+        following = materialize(smaller.coalesce(files_for(2 * seen[0])), "edges")
         for kept in (below, stars, above):
             kept.unpersist()
-        seen = following.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.bit_xor(F.xxhash64("g", "u", "v")).alias("x"),
-        ).first()
         discard(current)
-        current = following
-        if fingerprint == (seen.n, seen.x):
-            break
-        fingerprint = (seen.n, seen.x)
+        current, before = following, seen
+        seen = _fingerprint(current)
     members = current.select("g", F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select("g", F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return members.unionByName(roots)

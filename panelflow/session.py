@@ -71,6 +71,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+ROWS_PER_FILE = 50_000
+
+
+def files_for(rows: int) -> int:
+    """Partitions for a narrow table of about so many rows: small tables should not become many tiny files."""
+    return max(1, -(-rows // ROWS_PER_FILE))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
