@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelflow.session import materialize
+from panelflow.session import files_for, materialize
 
 FAN_IN = 16
 KEY = ["sha", "check", "n_bytes"]
@@ -65,21 +65,22 @@ def digest_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k
     sign, best = (F.lit(-1), F.max) if keep == "largest" else (F.lit(1), F.min)
     rank = F.struct(  # non-null identifiers first, then the identifier, then the row read first
         (F.col("doc_id").isNull().cast("int") * sign).alias("no_id"), F.col("doc_id"), (F.col("uid") * sign).alias("row"))
-    last = leaves.agg(F.max("run").alias("r")).first().r or 0
+    told = leaves.agg(F.max("run").alias("r"), F.count(F.lit(1)).alias("n")).first()
+    last, files = told.r or 0, files_for(told.n)
     entries, level, levels = leaves.select("run", *KEY, rank.alias("best"), F.lit(1).cast("bigint").alias("n")), 0, []
     while level == 0 or fan_in**level <= last:
         level += 1
         merged = (
             entries.withColumn("node", _node(level, fan_in)).groupBy("node", *KEY)
             .agg(best("best").alias("best"), F.sum("n").alias("n"), F.min("run").alias("run"))
-            .sortWithinPartitions("node", *KEY)
+            .coalesce(files).sortWithinPartitions("node", *KEY)
         )
         entries = materialize(merged, f"run{level}")
         levels.append(entries)
     answer = entries.filter("n > 1").select("node", *KEY, F.col("best").alias("top"), F.col("n").alias("total"))
     for level in range(len(levels) - 1, 0, -1):  # back down: the same families, at most fan_in entries each
         below = levels[level - 1].select(F.col("node").alias("below"), *KEY, _node(level + 1, fan_in).alias("node"))
-        answer = materialize(below.join(answer, ["node", *KEY]).select(F.col("below").alias("node"), *KEY, "top", "total"), f"answer{level}")
+        answer = materialize(below.join(answer, ["node", *KEY]).select(F.col("below").alias("node"), *KEY, "top", "total").coalesce(files), f"answer{level}")
     told = leaves.withColumn("node", _node(1, fan_in)).join(answer, ["node", *KEY], "left")
     alone = F.col("total").isNull()
     return told.select(

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelflow.operators.components import connected_components
-from panelflow.session import materialize
+from panelflow.session import files_for, materialize
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 5, 42
 LIMIT = 32_768
@@ -215,11 +215,11 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wid
     rows = materialize(
         docs.select(uid.alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("body"))
         .mapInArrow(_fingerprints(width, seed), f"uid bigint, doc_id {kind}, mark bigint"), "marks")
-    nodes = materialize(rows.groupBy("mark").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = materialize(rows.groupBy("mark").agg(F.min("doc_id").alias("least")).coalesce(files_for(rows.count())), "nodes")
     parts = connected_components(fingerprint_links(nodes, limit).select(F.lit(0).alias("g"), "u", "v"))
     labelled = nodes.join(parts.select(F.col("node").alias("mark"), "component"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
     names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialize(labelled.join(names, "component").select("mark", "component", "component_id"), "components")
+    named = materialize(labelled.join(names, "component").select("mark", "component", "component_id").coalesce(files_for(nodes.count())), "components")
     return rows.join(named, "mark").select("uid", "doc_id", "mark", "component", "component_id")
 
 
