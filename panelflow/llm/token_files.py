@@ -31,12 +31,12 @@ from tokenizers import Tokenizer
 
 from panelflow.llm.bpe import BEYOND_LATIN, byte_symbols, unassigned
 from panelflow.llm.elias_fano import EliasFano
-from panelflow.session import materialize, qualified, scratch_path
+from panelflow.session import files_for, materialize, qualified, scratch_path
 from panelflow.sources.files import file_system
 
 MAGIC = b"PFTOKEN1"
 _HEAD = struct.Struct("<8sQQQB7x")  # magic, documents, of them without identifier, ids, bytes an id
-CACHE_WORDS = 400_000
+CORE_WORDS, CACHE_WORDS = 100_000, 250_000  # words met first, most of them common, are kept for good
 READ_DOCS = 4_096
 #: The library's byte-level splitting pattern (fixed value), with places for letters, numbers and blanks.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
@@ -53,6 +53,28 @@ def _head(n_docs: int, missing: int, n_tokens: int, width: int) -> bytes:
     return _HEAD.pack(MAGIC, n_docs, missing, n_tokens, width)
 
 
+class _Words(dict):
+    """Word -> the bytes of its ids; a word not met before is encoded by the library's model."""
+
+    def __init__(self, model, width: int):
+        self.code, self.kind = model.tokenize, "H" if width == 2 else "I"
+        self.symbols, self.core = dict(enumerate(byte_symbols())), {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array(self.kind, [t.id for t in self.code(word.encode().decode("latin-1").translate(self.symbols))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        found = self[word] = ids.tobytes()
+        return found
+
+    def trim(self) -> None:
+        if not self.core and len(self) > CORE_WORDS:
+            self.core = dict(self)
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self.update(self.core)
+
+
 class LibraryEncoder:
     """Texts to the bytes of their ids, by the tokenizers library; a word met before is not encoded again."""
 
@@ -66,9 +88,8 @@ class LibraryEncoder:
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.pattern = regex.compile(PATTERN.format(L=r"\p{L}", N=r"\p{N}", S=r"\s"))
         self.latin = _latin_pattern()
-        self.symbols = dict(enumerate(byte_symbols()))
         self.unassigned = unassigned()
-        self.known: dict[str, bytes] = {}
+        self.known = _Words(self.library.model, self.width)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
@@ -81,21 +102,10 @@ class LibraryEncoder:
             return self.latin.findall(text)
         return None if self.unassigned.search(text) else self.pattern.findall(text)
 
-    def _learn(self, texts: list[list[str] | None]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known, code, symbols = self.known, self.library.model.tokenize, self.symbols
-        kind = "H" if self.width == 2 else "I"
-        for word in {w for text in texts if text for w in text if w not in known}:
-            ids = array(kind, [t.id for t in code(word.encode().decode("latin-1").translate(symbols))])
-            if sys.byteorder == "big":
-                ids.byteswap()
-            known[word] = ids.tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [self._words(t) for t in texts]
-        self._learn(words)
         known = self.known
+        known.trim()
+        words = map(self._words, texts)
         return [self._bytes(self.library.encode(t, add_special_tokens=False).ids) if w is None else b"".join(map(known.__getitem__, w))
                 for t, w in zip(texts, words)]
 
@@ -153,7 +163,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
     count = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(count, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "body")
     files = materialize(
-        ordered.select("doc_id", "body").mapInArrow(_writer(tokenizer, folder, end_id), "shard bigint, path string, n_docs bigint, n_tokens bigint"), "files")
+        ordered.select("doc_id", "body").mapInArrow(_writer(tokenizer, folder, end_id), "shard bigint, path string, n_docs bigint, n_tokens bigint")
+        .repartition(files_for(count)), "files")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
