@@ -9,6 +9,12 @@ Within a key, fingerprints come sorted and are compared in blocks; of a large ke
 joined are kept, so a dense group gives fewer links than members, and no link that matters is lost. A key with more
 than ``limit`` fingerprints is not compared but indexed again: the bits not used so far must hold the difference,
 so they are cut into three segments and wiped in the same way, until keys are small or no bits are left.
+
+Two relations are offered. By ``distance``, fingerprints of word shingles link at four or fewer bits. By likeness
+(:func:`drop_near_duplicates`), 64 bits over a text's different words are indexed, and pairs that meet are verified
+on these and 64 more bits: fourteen of 128 stand for texts that share about nine tenths of their words, the copies
+with four fifths of their five-word shingles in common. Those are ten bits apart by shingles, too far for any index
+of segments, but three or four by words.
 """
 
 from __future__ import annotations
@@ -26,6 +32,7 @@ from panelflow.operators.components import connected_components
 from panelflow.session import files_for, materialize
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 5, 42
+LIKE = 14  # bits of 128
 LIMIT = 32_768
 _SMALL = 48  # groups up to this size are compared by shifting the sorted batch
 _BLOCK = 512
@@ -33,6 +40,22 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _CHUNK = 65_536
 
 
+def word_fingerprint(text: bytes | None, seed: int = SEED) -> int:
+    """The 64-bit SimHash of the different words of a UTF-8 text."""
+    digest = xxhash.xxh64_intdigest
+    return _majority(np.array([digest(w, seed) for w in set((text or b"").lower().split())], np.uint64))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is in over half the hashes."""
+    votes = np.zeros(BITS, np.int64)
+    for part in range(0, len(hashes), _CHUNK):
+        some = hashes[part:part + _CHUNK]
+        votes += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = (votes * 2 > len(hashes)).astype(np.uint8)
+    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
     """The 64-bit SimHash of a UTF-8 text over its ``width``-word shingles, repeats included."""
     words = _WORD.findall((text or b"").lower())  # bytes: A-Z only
@@ -43,20 +66,19 @@ def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> i
     stops = (ends[min(width, len(words)) - 1:] - 1).tolist()
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
     hashes = np.array([digest(view[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
-    votes = np.zeros(BITS, np.int64)
-    for part in range(0, len(hashes), _CHUNK):
-        some = hashes[part:part + _CHUNK]
-        votes += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (votes * 2 > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return _majority(hashes)
 
 
-def _fingerprints(width: int, seed: int):
+def _fingerprints(width: int, seed: int, alike: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = np.array([fingerprint(t, width, seed) for t in batch.column("body").to_pylist()], np.uint64).view(np.int64)
-            names = [n for n in batch.schema.names if n != "body"]
-            yield pa.RecordBatch.from_pydict({**{n: batch.column(n) for n in names}, "mark": pa.array(marks)})
+            texts = batch.column("body").to_pylist()
+            columns = {n: batch.column(n) for n in batch.schema.names if n != "body"}
+            made = [word_fingerprint(t, seed) for t in texts] if alike else [fingerprint(t, width, seed) for t in texts]
+            columns["mark"] = pa.array(np.array(made, np.uint64).view(np.int64))
+            more = [word_fingerprint(t, seed + 1) for t in texts] if alike else [0] * len(texts)
+            columns["more"] = pa.array(np.array(more, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_pydict(columns)
     return run
 
 
@@ -74,9 +96,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, used, mark) -> one row for each segment and bit wiped out of it."""
+    """(key, used, mark, perhaps more) -> one row for each segment and bit wiped out of it."""
     parts = DISTANCE // 2 + 1
     for batch in batches:
+        rest = batch.column("more").to_numpy(zero_copy_only=False) if "more" in batch.schema.names else None
         key, used, mark = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "used", "mark"))
         for mask in np.unique(used):
             inside = used == mask
@@ -87,20 +110,26 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     whole = sum(1 << b for b in segment)
                     keys = [_mix(_mix(old + np.uint64(b + 1)) ^ (bits & np.uint64(whole & ~(1 << b)))) for b in segment]
                     taken = (int(mask) | whole) & (1 << BITS) - 1
+                    carried = {} if rest is None else {"more": pa.array(np.tile(rest[inside][begin:begin + 4096], len(keys)))}
                     yield pa.RecordBatch.from_pydict({
                         "key": pa.array(np.concatenate(keys).view(np.int64)),
                         "used": pa.array(np.full(len(keys) * len(bits), np.uint64(taken)).view(np.int64)),
-                        "mark": pa.array(np.tile(bits, len(keys)).view(np.int64))})
+                        "mark": pa.array(np.tile(bits, len(keys)).view(np.int64)), **carried})
+
 
+def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Bits in which fingerprints differ; the last axis holds their 64-bit words."""
+    return np.bitwise_count(left ^ right).sum(axis=-1, dtype=np.int16)
 
-def _forest(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def _forest(marks: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join every part of ``marks`` that is connected at the distance; never more than len(marks) - 1."""
     label, left, right = np.arange(len(marks)), [], []
     for begin in range(0, len(marks), _BLOCK):
         rows = marks[begin:begin + _BLOCK]
         for low in range(0, begin + len(rows), 4 * _BLOCK):
             columns = marks[low:min(low + 4 * _BLOCK, begin + len(rows))]
-            i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ columns[None, :]) <= DISTANCE)
+            i, j = np.nonzero(_apart(rows[:, None], columns[None, :]) <= distance)
             i, j = i + begin, j + low
             while True:
                 apart = label[i] != label[j]
@@ -117,7 +146,7 @@ def _forest(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return marks[np.array(left, np.int64)], marks[np.array(right, np.int64)]
 
 
-def _shifted(keys: np.ndarray, marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _shifted(keys: np.ndarray, marks: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links inside groups of up to ``_SMALL`` equal keys, of a sorted batch."""
     for step in range(1, _SMALL):
         if step >= len(keys):
@@ -126,21 +155,24 @@ def _shifted(keys: np.ndarray, marks: np.ndarray) -> Iterator[tuple[np.ndarray,
         if not same.any():
             return
         at = np.flatnonzero(same)
-        at = at[np.bitwise_count(marks[at] ^ marks[at + step]) <= DISTANCE]
+        at = at[_apart(marks[at], marks[at + step]) <= distance]
         yield marks[at], marks[at + step]
 
 
-def _link(limit: int):
-    def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        n = len(a)
+def _link(limit: int, distance: int, alike: bool):
+    def told(n: int, used, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        u, v = u.view(np.int64), v.view(np.int64)
+        none = pa.nulls(n, pa.int64())
         return pa.RecordBatch.from_pydict({
-            "used": pa.nulls(n, pa.int64()), "u": pa.array(np.minimum(a.view(np.int64), b.view(np.int64))),
-            "v": pa.array(np.maximum(a.view(np.int64), b.view(np.int64)))})
+            "used": used, "u": pa.array(u[:, 0]), "u_more": pa.array(u[:, 1]) if u.shape[1] > 1 else none,
+            "v": pa.array(v[:, 0]), "v_more": pa.array(v[:, 1]) if v.shape[1] > 1 else none})
+
+    def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return told(len(a), pa.nulls(len(a), pa.int64()), a, b)
 
     def again(key: int, used: int, marks: np.ndarray) -> pa.RecordBatch:
         n = len(marks)
-        return pa.RecordBatch.from_pydict({
-            "used": pa.array(np.full(n, used, np.int64)), "u": pa.array(np.full(n, key, np.int64)), "v": pa.array(marks.view(np.int64))})
+        return told(n, pa.array(np.full(n, used, np.int64)), np.full((n, 1), key, np.int64), marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted (key, used, mark) -> links (null, u, v); fingerprints of too large keys as (used, key, mark)."""
@@ -151,24 +183,27 @@ def _link(limit: int):
                 marks = np.concatenate(held)
                 if len(marks) > 1:
                     if len(marks) <= _SMALL:
-                        for a, b in _shifted(np.zeros(len(marks), np.int64), marks):
+                        for a, b in _shifted(np.zeros(len(marks), np.int64), marks, distance):
                             if len(a):
                                 yield edges(a, b)
                     else:
-                        a, b = _forest(marks)
+                        a, b = _forest(marks, distance)
                         if len(a):
                             yield edges(a, b)
 
         for batch in batches:
             key, used, mark = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "used", "mark"))
-            mark = mark.view(np.uint64)
+            mark = mark.reshape(-1, 1)
+            if alike:
+                mark = np.column_stack([mark, batch.column("more").to_numpy(zero_copy_only=False)])
+            mark = np.ascontiguousarray(mark).view(np.uint64)
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
             stops = np.r_[starts[1:], len(key)]
             # whole small groups, neither first nor last of the batch, at once
             inner = slice(starts[1], starts[-1]) if len(starts) > 2 else slice(0, 0)
             if inner.stop > inner.start:
                 many = np.repeat(stops - starts, stops - starts)[inner] <= _SMALL
-                for a, b in _shifted(key[inner][many], mark[inner][many]):
+                for a, b in _shifted(key[inner][many], mark[inner][many], distance):
                     if len(a):
                         yield edges(a, b)
             for g, (begin, stop) in enumerate(zip(starts.tolist(), stops.tolist())) if len(starts) < 3 else [
@@ -185,42 +220,50 @@ def _link(limit: int):
     return run
 
 
-def fingerprint_links(marks: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Distinct fingerprints (mark) -> links (u, v) that join all within the distance, directly or by a chain."""
-    level = marks.select(F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("used"), "mark")
+def fingerprint_links(marks: DataFrame, limit: int = LIMIT, distance: int = DISTANCE) -> DataFrame:
+    """Distinct fingerprints (mark, perhaps more) -> links (u, v, u_more, v_more) that join all within the distance,
+    directly or by a chain."""
+    more = [c for c in ("more",) if c in marks.columns]
+    level = marks.select(F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("used"), "mark", *more)
     found = None
     while True:
         told = materialize(
-            level.mapInArrow(_variants, "key bigint, used bigint, mark bigint")
+            level.mapInArrow(_variants, ", ".join(f"{c} bigint" for c in ("key", "used", "mark", *more)))
             .repartition("key").sortWithinPartitions("key", "mark")
-            .mapInArrow(_link(limit), "used bigint, u bigint, v bigint"), "links")
-        links = told.filter("used is null").select("u", "v")
+            .mapInArrow(_link(limit, distance, bool(more)), "used bigint, u bigint, u_more bigint, v bigint, v_more bigint"), "links")
+        links = told.filter("used is null").select("u", "v", "u_more", "v_more")
         found = links if found is None else found.unionByName(links)
-        level = told.filter("used is not null").select(F.col("u").alias("key"), "used", F.col("v").alias("mark"))
+        level = told.filter("used is not null").select(F.col("u").alias("key"), "used", F.col("v").alias("mark"), *[F.col("v_more").alias(c) for c in more])
         if level.isEmpty():
             return found.distinct()
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, seed: int = SEED,
-                limit: int = LIMIT, number: str | None = None) -> DataFrame:
+                limit: int = LIMIT, number: str | None = None, alike: bool = False) -> DataFrame:
     """One row per row of ``docs``: uid, doc_id, mark (fingerprint as a signed long), component (least mark), component_id.
 
     Fingerprints link at four or fewer differing bits; ``component_id`` is the smallest identifier that can be
     reached over links, the row's own included. Null and wordless texts have fingerprint zero, which is linked like
     any other; a null identifier is never a component's name unless it has no other. Repeated rows are all returned.
-    An empty table gives no rows; other columns are not looked at.
+    An empty table gives no rows; other columns are not looked at. ``alike`` links by likeness instead: see the module.
     """
     uid = F.col(number) if number else F.monotonically_increasing_id()
     kind = dict(docs.dtypes)[doc_id]
     rows = materialize(
         docs.select(uid.alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("body"))
-        .mapInArrow(_fingerprints(width, seed), f"uid bigint, doc_id {kind}, mark bigint"), "marks")
-    nodes = materialize(rows.groupBy("mark").agg(F.min("doc_id").alias("least")).coalesce(files_for(rows.count())), "nodes")
-    parts = connected_components(fingerprint_links(nodes, limit).select(F.lit(0).alias("g"), "u", "v"))
-    labelled = nodes.join(parts.select(F.col("node").alias("mark"), "component"), "mark", "left").withColumn("component", F.coalesce("component", "mark"))
+        .mapInArrow(_fingerprints(width, seed, alike), f"uid bigint, doc_id {kind}, mark bigint, more bigint")
+        .withColumn("node", F.xxhash64("mark", "more") if alike else F.col("mark")), "marks")
+    nodes = materialize(rows.groupBy("node", "mark", "more").agg(F.min("doc_id").alias("least")).coalesce(files_for(rows.count())), "nodes")
+    if alike:
+        links = fingerprint_links(nodes.select("mark", "more"), limit, LIKE).select(
+            F.lit(0).alias("g"), F.xxhash64("u", "u_more").alias("u"), F.xxhash64("v", "v_more").alias("v"))
+    else:
+        links = fingerprint_links(nodes.select("mark"), limit).select(F.lit(0).alias("g"), "u", "v")
+    parts = connected_components(links)
+    labelled = nodes.join(parts.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialize(labelled.join(names, "component").select("mark", "component", "component_id").coalesce(files_for(nodes.count())), "components")
-    return rows.join(named, "mark").select("uid", "doc_id", "mark", "component", "component_id")
+    named = materialize(labelled.join(names, "component").select("node", "component", "component_id").coalesce(files_for(nodes.count())), "components")
+    return rows.join(named, "node").select("uid", "doc_id", "mark", "component", "component_id")
 
 
 def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, seed: int = SEED,
@@ -230,11 +273,11 @@ def simhash_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", w
         "doc_id", F.lpad(F.lower(F.hex("mark")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, seed: int = SEED,
-                         limit: int = LIMIT) -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest identifier (of repeated ones the first read)."""
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", seed: int = SEED, limit: int = LIMIT) -> DataFrame:
+    """``docs`` with one row of each group of alike texts, the one with the smallest identifier (of repeated ones the
+    first read), columns unchanged. Null and wordless texts are alike."""
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("at"), F.struct("*").alias("row")), "rows")
     narrow = rows.select("at", F.col("row")[text].alias("text"), F.col("row")[doc_id].alias("doc_id"))
-    groups = near_groups(narrow, "text", "doc_id", width, seed, limit, number="at")
+    groups = near_groups(narrow, "text", "doc_id", seed=seed, limit=limit, number="at", alike=True)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("uid").alias("at"))
     return rows.join(kept.select("at"), "at", "left_semi").select("row.*")

@@ -47,8 +47,9 @@ def simhash(text, width):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def components(marks, distance=4):
+def components(marks, distance=4, linked=None):
     """For each place the list of places that links can reach."""
+    linked = linked or (lambda a, b: (a ^ b).bit_count() <= distance)
     parent = list(range(len(marks)))
 
     def top(i):
@@ -57,7 +58,7 @@ def components(marks, distance=4):
         return i
     for i in range(len(marks)):
         for j in range(i):
-            if (marks[i] ^ marks[j]).bit_count() <= distance:
+            if linked(marks[i], marks[j]):
                 parent[top(i)] = top(j)
     tops = [top(i) for i in range(len(marks))]
     return [[j for j, t in enumerate(tops) if t == tops[i]] for i in range(len(marks))]

@@ -3,7 +3,7 @@ import random
 import pytest
 from llm.cases import awkward, components, empty, rows, simhash
 
-from panelflow.llm.simhash import drop_near_duplicates, fingerprint_links, simhash_dedup
+from panelflow.llm.simhash import drop_near_duplicates, fingerprint_links, simhash_dedup, word_fingerprint
 
 
 @pytest.mark.parametrize("limit", [2, 32_768])
@@ -30,7 +30,7 @@ def test_dense_and_sparse_fingerprints(spark, limit):
     marks |= {rng.getrandbits(64) for _ in range(200)} | {0, 15, (1 << 64) - 1}
     marks = sorted(marks)
     signed = [m - (1 << 64) if m >> 63 else m for m in marks]
-    links = rows(fingerprint_links(spark.createDataFrame([(m,) for m in signed], "mark bigint"), limit))
+    links = rows(fingerprint_links(spark.createDataFrame([(m,) for m in signed], "mark bigint"), limit), "u", "v")
     assert all(((u ^ v) & (1 << 64) - 1).bit_count() <= 4 for u, v in links)
     parent = {m: m for m in signed}
 
@@ -44,16 +44,30 @@ def test_dense_and_sparse_fingerprints(spark, limit):
         assert {signed[j] for j in reach} == {m for m in signed if top(m) == top(signed[i])}
 
 
-def test_drop_leaves_one_of_each(spark):
-    df = awkward(spark)
-    left = drop_near_duplicates(df)
+@pytest.mark.parametrize("limit", [3, 32_768])
+def test_drop_leaves_one_of_each(spark, limit):
+    rng = random.Random(3)
+    bases = [[f"doc{b}word{i}" for i in range(300)] for b in range(6)]
+    extra = [(100 + 50 * b + k, " ".join(w if rng.random() > 0.015 else f"edit{rng.random()}" for w in base), "n") for b, base in enumerate(bases) for k in range(20)]
+    df = awkward(spark, extra)
+    left = drop_near_duplicates(df, limit=limit)
     texts = rows(df, "doc_id", "text")
-    parts = {tuple(reach) for reach in components([simhash(t, 5) for _, t in texts])}
+    marks = [like_marks(t) for _, t in texts]
+    parts = {tuple(reach) for reach in components(marks, linked=alike)}
     assert left.columns == df.columns and left.count() == len(parts)
-    ids = {i for (i,) in rows(left, "doc_id")}
-    for part in parts:
-        known = [texts[j][0] for j in part if texts[j][0] is not None]
-        assert (min(known) if known else None) in ids
+    ids = [i for (i,) in rows(left, "doc_id") if i is not None and i >= 100]
+    assert sorted(i // 50 for i in ids) == list(range(2, 8)) and {i % 50 for i in ids} == {0}  # the smallest of each
+
+
+def alike(a, b):
+    """Within 14 of 128 bits, and within one bit in a segment of the first 64."""
+    segments = [(1 << 22) - 1, ((1 << 21) - 1) << 22, ((1 << 21) - 1) << 43]
+    return (a ^ b).bit_count() <= 14 and min(((a ^ b) & s).bit_count() for s in segments) <= 1
+
+
+def like_marks(text):
+    raw = (text or "").encode()
+    return word_fingerprint(raw) | word_fingerprint(raw, 43) << 64
 
 
 def test_empty(spark):
