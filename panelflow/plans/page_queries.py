@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions import geometry as g, media, text as t, values as v
 from panelflow.operators import pages as p
+from panelflow.plans import jobs
 from panelflow.plans.derived import table, view, with_views
 
 
@@ -32,6 +33,14 @@ def screened_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.sum("page_id").alias("page_id_sum"), F.sum("width").alias("width_sum"))
 
 
+def harvest_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job: visible, new candidates, the small ones marked."""
+    none = F.lit(None).cast("double")
+    seen = _candidates(spark, sf_dir).where("page_id % 20 = 4 and element = 'img'").select("page_id", "source_url")
+    return jobs.harvest(view(spark, sf_dir, "v_pages_rich", heavy=True), seen, none, none).select(
+        "page_id", "page_url", "element", "source_url", "width", "height", "small")
+
+
 def match_requested(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _candidates(spark, sf_dir)
     twice = rows.unionByName(rows.withColumn("position", F.col("position") + 100_000))
@@ -138,6 +147,7 @@ found AS (
 QUERIES = {
     "harvest_images": harvest_images,
     "screened_candidates": screened_candidates,
+    "harvest_job": harvest_job,
     "match_requested": match_requested,
     "page_summary": page_summary,
     "sniff_mime": sniff_mime,
@@ -151,6 +161,9 @@ ORACLES = {
     "screened_candidates": with_views(_HARVEST + """
 SELECT element, count(*) AS n, CAST(sum(page_id) AS BIGINT) AS page_id_sum, CAST(sum(width) AS BIGINT) AS width_sum FROM found
 WHERE big AND shown AND page_id % 30 <> 0 AND NOT (page_id % 20 = 4 AND element = 'img') GROUP BY element""", "v_pages_rich"),
+    "harvest_job": with_views(_HARVEST + """
+SELECT page_id, page_url, element, source_url, width, height, NOT big AS small FROM found
+WHERE shown AND NOT (page_id % 20 = 4 AND element = 'img')""", "v_pages_rich"),
     "match_requested": with_views(_HARVEST + """
 SELECT page_id AS request_id, page_id, source_url AS url, element FROM found WHERE element IN ('canvas', 'svg')""", "v_pages_rich"),
     "page_summary": with_views(_HARVEST + """,
