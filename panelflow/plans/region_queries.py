@@ -142,11 +142,10 @@ def dedup_chained_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job: reliable, normalised, deduplicated regions, counted per image."""
+    """The whole job: the reliable, normalised, deduplicated regions of each image."""
     accepted, _ = r.split_reliable(styled_regions(spark, sf_dir))
     kept = r.dedup_regions(r.normalize_regions(accepted, *_size()))
-    return kept.groupBy("image_id").agg(
-        F.count(F.lit(1)).alias("n_regions"), F.sum("ord").alias("ord_sum"), F.sum("slot_ord").alias("slot_sum"))
+    return kept.select("image_id", "slot_ord", "ord", "left", "top", "right", "bottom")
 
 
 # ------------------------------------------------------------------ SQL twins
@@ -356,6 +355,5 @@ GROUP BY u.image_id, u."left", u.top, u."right", u.bottom""", "v_chained"),
     "clean_regions": with_views(f"""
 {_NORMAL},
 boxes AS (SELECT image_id, ord, confidence, "left", top, "right", bottom FROM normal WHERE confidence >= 0.45){_FOLD}
-SELECT image_id, count(*) AS n_regions, CAST(sum(s.ord) AS BIGINT) AS ord_sum, CAST(sum(s.slot) AS BIGINT) AS slot_sum
-FROM slots GROUP BY image_id""", "v_styled").replace("WITH ", "WITH RECURSIVE ", 1),
+SELECT image_id, s.slot AS slot_ord, s.ord AS ord, s.l AS "left", s.t AS top, s.r AS "right", s.b AS bottom FROM slots""", "v_styled").replace("WITH ", "WITH RECURSIVE ", 1),
 }
