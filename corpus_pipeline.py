@@ -13,7 +13,7 @@ from panelflow.llm.bpe import encode
 from panelflow.llm.exact_dedup import drop_exact_duplicates
 from panelflow.llm.mixing import mixed_documents
 from panelflow.llm.quality import drop_low_quality
-from panelflow.llm.simhash import drop_near_duplicates
+from panelflow.llm.simhash import drop_near_copies
 from panelflow.session import materialize
 
 
@@ -29,7 +29,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest identifier stays."""
-    return drop_near_duplicates(docs)
+    return drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

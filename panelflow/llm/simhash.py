@@ -12,9 +12,10 @@ so they are cut into three segments and wiped in the same way, until keys are sm
 
 Two relations are offered. By ``distance``, fingerprints of word shingles link at four or fewer bits. By likeness
 (:func:`drop_near_duplicates`), 64 bits over a text's different words are indexed, and pairs that meet are verified
-on these and 64 more bits: fourteen of 128 stand for texts that share about nine tenths of their words, the copies
-with four fifths of their five-word shingles in common. Those are ten bits apart by shingles, too far for any index
-of segments, but three or four by words.
+on these and 64 more bits: fourteen of 128 stand for texts that share about nine tenths of their words. Copies with
+four fifths of their five-word shingles in common are ten bits apart by shingles, too far for any index of segments,
+but three or four by words. :func:`drop_near_copies` takes that only to find groups, and inside each compares the
+sets of hashed shingles.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from panelflow.session import files_for, materialize
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 5, 42
 LIKE = 14  # bits of 128
 LIMIT = 32_768
+BLOCK = 1 << 20  # hashed shingles in a block of verified sets
 _SMALL = 48  # groups up to this size are compared by shifting the sorted batch
 _BLOCK = 512
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -56,17 +58,22 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
-    """The 64-bit SimHash of a UTF-8 text over its ``width``-word shingles, repeats included."""
+def shingle_hashes(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """A hash of each ``width``-word shingle of a UTF-8 text, repeats included; a shorter text is one shingle."""
     words = _WORD.findall((text or b"").lower())  # bytes: A-Z only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
     starts = (ends - [len(w) + 1 for w in words]).tolist()
     stops = (ends[min(width, len(words)) - 1:] - 1).tolist()
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
-    hashes = np.array([digest(view[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
-    return _majority(hashes)
+    return np.array([digest(view[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
+
+
+def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
+    """The 64-bit SimHash of a UTF-8 text over its ``width``-word shingles, repeats included."""
+    hashes = shingle_hashes(text, width, seed)
+    return _majority(hashes) if len(hashes) else 0
 
 
 def _fingerprints(width: int, seed: int, alike: bool):
@@ -281,3 +288,100 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     groups = near_groups(narrow, "text", "doc_id", seed=seed, limit=limit, number="at", alike=True)
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("uid").alias("at"))
     return rows.join(kept.select("at"), "at", "left_semi").select("row.*")
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(..., body) -> (..., shape, sorted hashes of the different shingles); ``shape`` is the same for equal sets."""
+    for batch in batches:
+        sets = [np.unique(shingle_hashes(t)) for t in batch.column("body").to_pylist()]
+        columns = {n: batch.column(n) for n in batch.schema.names if n != "body"}
+        columns["shape"] = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64))
+        columns["shingles"] = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_pydict(columns)
+
+
+def _reached(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links (i, j) between sets that share four fifths, which join all that chains of such links can reach.
+
+    Every set is held once against those not reached yet, so a dense group costs little more than its size."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    names = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    every = np.split(names, np.cumsum(sizes)[:-1])
+    left = np.flatnonzero(sizes > 0)
+    while len(left):
+        queue, left = [int(left[0])], left[1:]
+        flat, owner = (np.concatenate([every[k] for k in left]), np.repeat(np.arange(len(left)), sizes[left])) if len(left) else (names[:0], names[:0])
+        mark, there = np.zeros(len(names) + 1, bool), np.ones(len(left), bool)
+        while queue and there.any():
+            i = queue.pop()
+            mark[every[i]] = True
+            common = np.bincount(owner[mark[flat]], minlength=len(left))
+            mark[every[i]] = False
+            # c / (a + b - c) >= 4 / 5
+            found = there & (9 * common >= 4 * (sizes[i] + sizes[left]))
+            there &= ~found
+            yield from ((i, int(j)) for j in left[found])
+            queue += left[found].tolist()
+            if 2 * there.sum() < len(left):
+                keep = there[owner]
+                flat, owner = flat[keep], (np.cumsum(there) - 1)[owner[keep]]
+                left, there = left[there], np.ones(int(there.sum()), bool)
+        left = left[there]
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, part, shape, shingles), each part's next to each other -> links (g, u, v) of shapes."""
+    here, shapes, sets = None, [], []
+
+    def close():
+        found = np.array(list(_reached(sets)), np.int64).reshape(-1, 2) if len(sets) > 1 else np.zeros((0, 2), np.int64)
+        names = np.array(shapes, np.int64)
+        return pa.RecordBatch.from_pydict({
+            "g": pa.array(np.full(len(found), here[0] if here else 0, np.int64)), "u": pa.array(names[found[:, 0]]), "v": pa.array(names[found[:, 1]])})
+
+    for batch in batches:
+        group, part, shape = (batch.column(n).to_numpy(zero_copy_only=False).tolist() for n in ("g", "part", "shape"))
+        for k, at in enumerate(zip(group, part)):
+            if at != here:
+                yield close()
+                here, shapes, sets = at, [], []
+            shapes.append(shape[k])
+            sets.append(batch.column("shingles")[k].values.to_numpy(zero_copy_only=False))
+    yield close()
+
+
+def shingle_links(sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Different (g, shape, shingles) -> links (g, u, v): within a group, all shapes that chains of pairs with four fifths
+    of their shingles in common connect are connected by links. A group of more than ``block`` shingles is dealt into
+    blocks, and every two of them are compared, so no task holds more than two."""
+    weights = sets.groupBy("g").agg(F.ceil(F.sum(F.size("shingles") + 1) / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    own = F.pmod(F.xxhash64("shape"), F.col("blocks").cast("bigint")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = sets.join(weights, "g").withColumn("own", own).withColumn("other", other)
+    part = F.least("own", "other").cast("bigint") * F.col("blocks") + F.greatest("own", "other")
+    return dealt.select("g", part.alias("part"), "shape", "shingles").repartition("g", "part").sortWithinPartitions("g", "part").mapInArrow(
+        _verify, "g bigint, u bigint, v bigint")
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", seed: int = SEED, limit: int = LIMIT,
+                     block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, the one with the smallest identifier (of repeated ones the
+    first read), columns unchanged. Texts are near duplicates if they share four fifths of their different five-word
+    shingles (a shorter text is one shingle), or by a chain of such texts; fingerprints only say which groups to look
+    into. Null and wordless texts are alike."""
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("at"), F.struct("*").alias("row")), "rows")
+    narrow = rows.select("at", F.col("row")[text].alias("text"), F.col("row")[doc_id].alias("doc_id"))
+    groups = materialize(near_groups(narrow, "text", "doc_id", seed=seed, limit=limit, number="at", alike=True).select(
+        F.col("uid").alias("at"), "doc_id", F.col("component").alias("g")), "groups")
+    several = groups.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g")
+    kind = dict(groups.dtypes)["doc_id"]
+    shaped = materialize(
+        groups.join(several, "g", "left_semi").join(narrow.select("at", F.col("text").cast("binary").alias("body")), "at").select("at", "doc_id", "g", "body")
+        .mapInArrow(_shingle_sets, f"at bigint, doc_id {kind}, g bigint, shape bigint, shingles array<bigint>"), "shingles")
+    parts = connected_components(shingle_links(shaped.groupBy("g", "shape").agg(F.any_value("shingles").alias("shingles")), block))
+    verified = shaped.select("at", "doc_id", "g", "shape").join(parts.withColumnRenamed("node", "shape"), ["g", "shape"], "left").select(
+        "at", "doc_id", "g", F.coalesce("component", "shape").alias("part"))
+    alone = groups.join(several, "g", "left_anti").select("at", "doc_id", "g", F.lit(0).cast("bigint").alias("part"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "at"))
+    kept = verified.unionByName(alone).groupBy("g", "part").agg(first.alias("first")).select(F.col("first.at").alias("at"))
+    return rows.join(kept, "at", "left_semi").select("row.*")
