@@ -11,8 +11,9 @@ than ``limit`` fingerprints is not compared but indexed again: the bits not used
 so they are cut into three segments and wiped in the same way, until keys are small or no bits are left.
 
 Two relations are offered. By ``distance``, fingerprints of word shingles link at four or fewer bits. By likeness
-(:func:`drop_near_duplicates`), 64 bits over a text's different words are indexed, and pairs that meet are verified
-on these and 64 more bits: fourteen of 128 stand for texts that share about nine tenths of their words. Copies with
+(:func:`drop_near_duplicates`), 128 bits over a text's different words are indexed by eight segments with one bit
+wiped out, which all pairs up to fifteen bits apart share; fourteen stand for texts that share about nine tenths of
+their words. A key with more than ``limit`` of these is compared block against block. Copies with
 four fifths of their five-word shingles in common are ten bits apart by shingles, too far for any index of segments,
 but three or four by words. :func:`drop_near_copies` takes that only to find groups, and inside each compares the
 sets of hashed shingles.
@@ -95,6 +96,23 @@ def _segments(used: int, parts: int) -> list[list[int]]:
     return [s.tolist() for s in np.array_split(free, parts) if len(s)]
 
 
+def _like_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(mark, more) -> (key, mark, more), one row for each bit wiped out of its segment of the 128 bits."""
+    parts = LIKE // 2 + 1
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 4096):
+            words = [batch.column(n).slice(begin, 4096).to_numpy(zero_copy_only=False).view(np.uint64) for n in ("mark", "more")]
+            for segment in np.array_split(np.arange(2 * BITS), parts):
+                whole = [sum(1 << int(b) % BITS for b in segment if b // BITS == w) for w in (0, 1)]
+                for b in segment.tolist():
+                    kept = [whole[w] & ~(1 << b % BITS) if b // BITS == w else whole[w] for w in (0, 1)]
+                    key = np.full(len(words[0]), np.uint64(b + 1))
+                    for word, mask in zip(words, kept):
+                        key = _mix(key) ^ (word & np.uint64(mask))
+                    yield pa.RecordBatch.from_pydict({
+                        "key": pa.array(_mix(key).view(np.int64)), "mark": pa.array(words[0].view(np.int64)), "more": pa.array(words[1].view(np.int64))})
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit mixing step (the splitmix64 finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -103,10 +121,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, used, mark, perhaps more) -> one row for each segment and bit wiped out of it."""
+    """(key, used, mark) -> one row for each segment and bit wiped out of it."""
     parts = DISTANCE // 2 + 1
     for batch in batches:
-        rest = batch.column("more").to_numpy(zero_copy_only=False) if "more" in batch.schema.names else None
         key, used, mark = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "used", "mark"))
         for mask in np.unique(used):
             inside = used == mask
@@ -117,11 +134,10 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     whole = sum(1 << b for b in segment)
                     keys = [_mix(_mix(old + np.uint64(b + 1)) ^ (bits & np.uint64(whole & ~(1 << b)))) for b in segment]
                     taken = (int(mask) | whole) & (1 << BITS) - 1
-                    carried = {} if rest is None else {"more": pa.array(np.tile(rest[inside][begin:begin + 4096], len(keys)))}
                     yield pa.RecordBatch.from_pydict({
                         "key": pa.array(np.concatenate(keys).view(np.int64)),
                         "used": pa.array(np.full(len(keys) * len(bits), np.uint64(taken)).view(np.int64)),
-                        "mark": pa.array(np.tile(bits, len(keys)).view(np.int64)), **carried})
+                        "mark": pa.array(np.tile(bits, len(keys)).view(np.int64))})
 
 
 def _apart(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -166,7 +182,7 @@ def _shifted(keys: np.ndarray, marks: np.ndarray, distance: int) -> Iterator[tup
         yield marks[at], marks[at + step]
 
 
-def _link(limit: int, distance: int, alike: bool):
+def _link(limit: int | None, distance: int, alike: bool):
     def told(n: int, used, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         u, v = u.view(np.int64), v.view(np.int64)
         none = pa.nulls(n, pa.int64())
@@ -220,31 +236,53 @@ def _link(limit: int, distance: int, alike: bool):
                     open_key, open_used, held, size, flooded = key[begin], int(used[begin]), [], 0, False
                 held.append(mark[begin:stop])
                 size += stop - begin
-                if size > limit and open_used != -1:
+                if limit is not None and size > limit and open_used != -1:
                     yield again(int(open_key), open_used, np.concatenate(held))
                     held, flooded = [], True
         yield from close()
     return run
 
 
+def _told(keyed: DataFrame, limit: int | None, distance: int, alike: bool) -> DataFrame:
+    """The links of every key, and the fingerprints of keys that are too large."""
+    return keyed.repartition("key").sortWithinPartitions("key", "mark").mapInArrow(
+        _link(limit, distance, alike), "used bigint, u bigint, u_more bigint, v bigint, v_more bigint")
+
+
 def fingerprint_links(marks: DataFrame, limit: int = LIMIT, distance: int = DISTANCE) -> DataFrame:
     """Distinct fingerprints (mark, perhaps more) -> links (u, v, u_more, v_more) that join all within the distance,
-    directly or by a chain."""
-    more = [c for c in ("more",) if c in marks.columns]
-    level = marks.select(F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("used"), "mark", *more)
+    directly or by a chain. With ``more``, the distance is ``LIKE`` at most."""
+    if "more" in marks.columns:
+        return _like_links(marks, limit, distance)
+    level = marks.select(F.lit(0).cast("bigint").alias("key"), F.lit(0).cast("bigint").alias("used"), "mark")
     found = None
     while True:
-        told = materialize(
-            level.mapInArrow(_variants, ", ".join(f"{c} bigint" for c in ("key", "used", "mark", *more)))
-            .repartition("key").sortWithinPartitions("key", "mark")
-            .mapInArrow(_link(limit, distance, bool(more)), "used bigint, u bigint, u_more bigint, v bigint, v_more bigint"), "links")
+        told = materialize(_told(level.mapInArrow(_variants, "key bigint, used bigint, mark bigint"), limit, distance, False), "links")
         links = told.filter("used is null").select("u", "v", "u_more", "v_more")
         found = links if found is None else found.unionByName(links)
-        level = told.filter("used is not null").select(F.col("u").alias("key"), "used", F.col("v").alias("mark"), *[F.col("v_more").alias(c) for c in more])
+        level = told.filter("used is not null").select(F.col("u").alias("key"), "used", F.col("v").alias("mark"))
         if level.isEmpty():
             return found.distinct()
 
 
+def _like_links(marks: DataFrame, limit: int, distance: int) -> DataFrame:
+    """Fingerprints of 128 bits: of a key with more than ``limit`` of them, blocks are compared two by two."""
+    if distance > LIKE:
+        raise ValueError(f"the index holds up to {LIKE} bits")
+    keyed = marks.mapInArrow(_like_variants, "key bigint, mark bigint, more bigint").withColumn("used", F.lit(0).cast("bigint"))
+    told = materialize(_told(keyed, limit, distance, True), "links")
+    found = told.filter("used is null").select("u", "v", "u_more", "v_more")
+    flooded = told.filter("used is not null").select(F.col("u").alias("key"), F.lit(0).cast("bigint").alias("used"), F.col("v").alias("mark"), F.col("v_more").alias("more"))
+    if not flooded.isEmpty():
+        counts = flooded.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / limit).alias("blocks"))
+        own, other = F.pmod(F.xxhash64("mark", "more"), F.col("blocks")), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+        dealt = flooded.join(counts, "key").withColumn("own", own).withColumn("other", other)
+        block = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+        pairs = dealt.select(F.xxhash64("key", block).alias("key"), "used", "mark", "more")
+        found = found.unionByName(materialize(_told(pairs, None, distance, True), "links").select("u", "v", "u_more", "v_more"))
+    return found.distinct()
+
+
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = SHINGLE, seed: int = SEED,
                 limit: int = LIMIT, number: str | None = None, alike: bool = False) -> DataFrame:
     """One row per row of ``docs``: uid, doc_id, mark (fingerprint as a signed long), component (least mark), component_id.

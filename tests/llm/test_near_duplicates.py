@@ -1,10 +1,11 @@
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from llm.cases import WORD, awkward, components, lowered, rows
 
-from panelflow.llm.simhash import _reached, drop_near_copies
+from panelflow.llm.simhash import _reached, drop_near_copies, fingerprint_links
 
 
 def shingles(text):
@@ -48,3 +49,30 @@ def test_chains_are_followed():
     full = [k for k in range(len(sets)) if len(sets[k])]
     for place, part in zip(full, components([set(sets[k].tolist()) for k in full], linked=near)):
         assert {full[k] for k in part} == {k for k in full if top(k) == top(place)}
+
+
+@pytest.mark.parametrize("limit", [5, 32_768])
+def test_every_pair_within_reach_meets(spark, limit):
+    rng = random.Random(4)
+    pairs = [(m, m ^ sum(1 << b for b in rng.sample(range(128), 14))) for m in (rng.getrandbits(128) for _ in range(60))]
+    centre = rng.getrandbits(128)
+    crowd = sorted({centre ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 12))) for _ in range(60)})
+    marks = crowd + [m for p in pairs for m in p]
+    signed = [tuple(w - (1 << 64) if w >> 63 else w for w in (m & (1 << 64) - 1, m >> 64)) for m in marks]
+    links = rows(fingerprint_links(spark.createDataFrame(signed, "mark bigint, more bigint"), limit, 14), "u", "u_more", "v", "v_more")
+    whole = lambda a, b: a & (1 << 64) - 1 | (b & (1 << 64) - 1) << 64
+    joined = {(whole(a, b), whole(c, d)) for a, b, c, d in links}
+    assert all((u ^ v).bit_count() <= 14 for u, v in joined)
+    assert all((u, v) in joined or (v, u) in joined for u, v in pairs)
+    place = {m: k for k, m in enumerate(marks)}
+    linked = {frozenset((place[u], place[v])) for u, v in joined}
+    by_links = components(list(range(len(marks))), linked=lambda i, j: frozenset((i, j)) in linked)
+    assert {tuple(p) for p in by_links} == {tuple(p) for p in components(marks, distance=14)}
+
+
+def test_stage_by_shingles(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = corpus_pipeline.exact(spark, corpus_pipeline.quality(spark, docs, ""), "")
+    order = sorted(rows(before, "doc_id", "text"))
+    want = {order[min(p)][0] for p in components([shingles(t) for _, t in order], linked=near)}
+    assert {i for (i,) in rows(corpus_pipeline.near(spark, before, ""), "doc_id")} == want and len(want) < len(order)
