@@ -1,7 +1,8 @@
 """URL filtering by explicit rules and, where none fits, by a tree of path templates for each host.
 
 The tree is grown level by level. Of the segments below a node those that hold enough of its pages stay literal, all
-others are variable and become one wildcard. Sibling branches that differ in one literal and whose labelled pages
+others are variable and become one wildcard. Labels that rules made know nothing of pages beside the rule's path, so
+the segments of such a path stay literal whatever their support. Sibling branches that differ in one literal and whose labelled pages
 show no significant difference are merged. A (merged) template is rejected when its labelled purity, smoothed by
 as many good as bad pages, is too low and enough of its pages are labelled; one without labels never is.
 
@@ -43,17 +44,18 @@ def match_rules(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
 
 
 def _grow(rows: DataFrame, depth: int, min_support: int, min_share: float) -> DataFrame:
-    """``rows`` (host, segments, ...) with ``template``, and ``stem`` and ``rest``: it without its last literal, ``word``."""
+    """``rows`` (host, segments, ruled, ...: so many segments are literal) with ``template``, and ``stem`` and ``rest``: it without its last literal, ``word``."""
     deepest = rows.agg(F.max(F.size("segments")).alias("d")).first().d or 0
     rows = rows.withColumn("template", F.lit("")).withColumn("stem", F.lit("")).withColumn("word", F.lit("")).withColumn("rest", F.lit(""))
     for level in range(min(depth, deepest)):
         here = rows.withColumn("token", F.get("segments", F.lit(level)))
         children = materialize(
-            here.filter("token is not null").groupBy("host", "template", "token").agg(F.count(F.lit(1)).alias("n")), "children")
+            here.filter("token is not null").groupBy("host", "template", "token").agg(
+                F.count(F.lit(1)).alias("n"), F.max(F.col("ruled") > level).alias("kept")), "children")
         parents = materialize(children.groupBy("host", "template").agg(F.sum("n").alias("total")), "parents")
         literal = materialize(
-            children.filter(F.col("n") >= min_support).join(parents, ["host", "template"])
-            .filter(F.col("n") >= min_share * F.col("total")).select("host", "template", "token", F.lit(True).alias("literal")), "literals")
+            children.filter((F.col("n") >= min_support) | F.col("kept")).join(parents, ["host", "template"])
+            .filter((F.col("n") >= min_share * F.col("total")) | F.col("kept")).select("host", "template", "token", F.lit(True).alias("literal")), "literals")
         step = F.when(F.col("token").isNull(), "").when(F.col("literal"), F.concat(F.lit("/"), "token")).otherwise("/*")
         grown = here.join(literal, ["host", "template", "token"], "left").withColumn("step", step).withColumn("literal", F.coalesce("literal", F.lit(False)))
         rows = materialize(grown.select(
@@ -88,7 +90,7 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "u
     """The verdict on every row: page_id, host, path, rule, verdict, template, purity.
 
     ``bad`` labels pages of known quality (boolean, null: unknown); without it the pages that a rule fits are the
-    labelled ones. Null URLs and those without ``://`` have an empty host and path and are judged with each other.
+    labelled ones, and judge no page beside the path of their rule. Null URLs and those without ``://`` have an empty host and path and are judged with each other.
     Null or repeated identifiers are judged like any other row, an empty table gives no rows, and columns not named
     are not looked at. Templates show merged siblings in braces.
     """
@@ -97,9 +99,13 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "u
                           (bad if bad is not None else F.lit(None)).cast("boolean").alias("label"))
     rule, told = match_rules(F.col("host"), F.col("path"), rules)
     parsed = parsed.withColumn("rule", rule).withColumn("told", told)
+    ruled = F.lit(0)
     if bad is None:
         parsed = parsed.withColumn("label", F.col("told") == "block")
-    rows = materialize(parsed.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")), "pages")
+        of_rule = F.filter(F.split(F.regexp_replace("rule", "^[^/]*", ""), "/"), lambda s: s != "")
+        ruled = F.when(F.col("rule").isNull(), 0).otherwise(F.size(of_rule))
+        depth = max([depth, *(sum(map(bool, text.partition("/")[2].split("/"))) for text, _ in rules)])
+    rows = materialize(parsed.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("ruled", ruled), "pages")
     grown = _grow(rows, depth, min_support, min_share)
     templates = materialize(grown.groupBy("host", "stem", "word", "rest").agg(
         F.count(F.lit(1)).alias("pages"), F.count("label").alias("labelled"), F.count_if("label").alias("bad")), "templates")

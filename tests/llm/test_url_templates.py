@@ -56,6 +56,18 @@ def test_templates_reject_by_purity(spark):
     assert told["q.org", "u7"] == ("/*", "allow") and told["few.org", "a"][1] == "allow"  # too few labels
 
 
+def test_rules_judge_no_pages_beside_their_path(spark):
+    for n in (13, 40):  # below and above the support of a literal segment
+        urls = [f"http://s.example.net/{lang}/{k}" for lang in ("de", "es", "fr") for k in range(n)]
+        df = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+        got = {(p.split("/")[1], v) for p, v in rows(url_filter(df, URL_RULES), "path", "verdict")}
+        assert got == {("de", "allow"), ("es", "block"), ("fr", "block")}
+    deep = "/".join(["s"] * 10)
+    df = spark.createDataFrame([(k, f"http://d.org/{deep}/{'x' if k % 3 else 'y'}/{k}") for k in range(60)], "page_id bigint, url string")
+    got = {(p.split("/")[11], v) for p, v in rows(url_filter(df, [(f"d.org/{deep}/x/", "block")]), "path", "verdict")}
+    assert got == {("x", "block"), ("y", "allow")}
+
+
 def test_deep_paths_and_depth(spark):
     df = spark.createDataFrame([(i, "http://d.org/" + "/".join(["s"] * 40) + f"/{i}") for i in range(30)], "page_id bigint, url string")
     assert set(rows(url_filter(df, (), depth=3), "template")) == {("/s/s/s/**",)}
