@@ -5,16 +5,19 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from panelflow.llm.alignment import align
 from panelflow.llm.bpe import encode
 from panelflow.llm.exact_dedup import exact_dedup
 from panelflow.llm.html_text import extract_text
 from panelflow.llm.licenses import license_scan, license_sql
 from panelflow.llm.mixing import mix
 from panelflow.llm.quality import quality_report
+from panelflow.llm.shingle_join import shingle_join
 from panelflow.llm.simhash import simhash_dedup
 from panelflow.llm.substring_dedup import substring_dedup
 from panelflow.llm.token_files import token_file_report
 from panelflow.llm.url_templates import url_filter
+from panelflow.llm.vector_codes import vector_codes, vector_codes_sql
 
 #: The explicit rules of op3 (fixed values).
 URL_RULES = (
@@ -67,6 +70,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_text": op2_html_text,
@@ -78,6 +93,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_token_files": op9_token_files,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_shingle_join": op12_shingle_join,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES = {
@@ -126,4 +144,5 @@ counts AS (
   FROM d LEFT JOIN by_doc USING (doc_id) LEFT JOIN repeated USING (doc_id)),
 based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts)
 SELECT *, NOT base_failed AND lost_share <= 0.5 AS kept FROM based""",
+    "op13_vector_codes": vector_codes_sql(),
 }
