@@ -12,12 +12,14 @@ applied inside the groups so found, with its own counts, and cuts them further:
 Inside a group two sets are candidates only if they share prefix tokens under every order, and only candidates are
 verified, on whole sets. A set that is linked is not compared again with those it is linked with already.
 
-A token is a 64-bit hash of its words; equal sets have equal 128-bit digests and sizes and are one node.
+A token is a 64-bit hash of its words; equal sets have equal 128-bit digests and sizes and are one node. A set is built
+again, from a text of the same 128-bit hash, only where it is a candidate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,17 +54,25 @@ class _Words(dict):
         return found
 
 
-def shingle_set(text: bytes | None, width: int, words: _Words) -> np.ndarray:
-    """The distinct hashed ``width``-word shingles of a UTF-8 text, ascending; fewer words are one shingle."""
-    found = (text or b"").lower().split()  # bytes: A-Z only, and the blanks are exactly those of the words' definition
-    if not found:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    width = min(width, len(hashes))
-    total = np.zeros(len(hashes) - width + 1, np.uint64)
+def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every ``width`` neighbouring words."""
+    total = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
     for k in range(width):
         total = _mix(total * np.uint64(0xD6E8FEB86659FD93) + hashes[k:k + len(total)])
-    return np.unique(total + np.uint64(width))
+    return total + np.uint64(width)
+
+
+def shingle_sets(texts: list[bytes | None], width: int, words: _Words) -> list[np.ndarray]:
+    """The distinct hashed ``width``-word shingles of each UTF-8 text, ascending; fewer words are one shingle."""
+    found = [(t or b"").lower().split() for t in texts]  # bytes: A-Z only, and the blanks are exactly those of the words' definition
+    stops = list(accumulate(map(len, found)))
+    hashes = np.fromiter(map(words.__getitem__, chain.from_iterable(found)), np.uint64, stops[-1] if stops else 0)
+    rolled, sets = _rolled(hashes, width), []
+    for own, stop in zip(found, stops):
+        begin = stop - len(own)
+        whole = rolled[begin:stop - width + 1] if len(own) >= width else _rolled(hashes[begin:stop], len(own)) if own else hashes[:0]
+        sets.append(np.unique(whole))
+    return sets
 
 
 def _least_overlap(n: int, percent: int) -> int:
@@ -107,31 +117,15 @@ def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.
     for batch in batches:
         for begin in range(0, batch.num_rows, 1024):
             part = batch.slice(begin, 1024)
-            yield part, [shingle_set(t, width, words) for t in part.column("body").to_pylist()]
+            yield part, shingle_sets(part.column("body").to_pylist(), width, words)
 
 
 def _shapes(width: int, percent: int):
-    """(doc_id, body) -> (doc_id, n, s1, s2, head, shared) under the first order."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in _slices(batches, width):
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | _digests(sets) | _heads(sets, SEEDS[0], percent))
-    return run
-
-
-def _texts(width: int):
-    """(doc_id, body) -> (n, s1, s2, body); of equal sets that a task meets, the first."""
+    """(..., body) -> (..., n, s1, s2, head, shared) under the first order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[tuple[int, int]] = set()
         for part, sets in _slices(batches, width):
-            told = _digests(sets)
-            new = []
-            for row, key in enumerate(zip(told["s1"].to_pylist(), told["s2"].to_pylist())):
-                if key not in met:
-                    met.add(key)
-                    new.append(row)
-            if len(met) > _CACHE:
-                met.clear()
-            yield pa.RecordBatch.from_pydict(told | {"body": part.column("body")}).take(pa.array(new, pa.int64()))
+            told = {n: part.column(n) for n in part.schema.names if n != "body"}
+            yield pa.RecordBatch.from_pydict(told | _digests(sets) | _heads(sets, SEEDS[0], percent))
     return run
 
 
@@ -266,17 +260,20 @@ def shingle_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     if not (width >= 1 and 1 <= percent <= 100):
         raise ValueError("width is at least 1, percent from 1 to 100")
     kind = dict(docs.dtypes)[doc_id]
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("body"))
+    body = F.col(text).cast("binary")
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), body.alias("body"))
     rows = materialize(given.mapInArrow(
-        _shapes(width, percent), f"doc_id {kind}, n bigint, s1 bigint, s2 bigint, head array<bigint>, shared bigint"), "shapes")
-    by_set = rows.filter("n > 0").groupBy(*_KEY).agg(F.min("doc_id").alias("least"), F.first("head").alias("head"), F.first("shared").alias("shared"))
+        _shapes(width, percent), f"doc_id {kind}, k1 bigint, k2 bigint, n bigint, s1 bigint, s2 bigint, head array<bigint>, shared bigint"), "shapes")
+    by_set = rows.filter("n > 0").groupBy(*_KEY).agg(
+        F.min("doc_id").alias("least"), F.first("head").alias("head"), F.first("shared").alias("shared"), F.min(F.struct("k1", "k2")).alias("of"))
     files = files_for(rows.count())
     nodes = materialize(by_set.coalesce(files).select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
     # a smaller set than these has no partner but an equal one
     first = materialize(prefixes(
         nodes.filter(100 * F.col("n") >= percent * (F.col("n") + 1)).select(F.lit(0).cast("bigint").alias("g"), "node", "head", "shared")), "order")
-    chosen = materialize(candidate_groups(first).join(nodes.select("node", *_KEY), "node").coalesce(files), "candidates")
-    again = given.mapInArrow(_texts(width), "n bigint, s1 bigint, s2 bigint, body binary").join(chosen, _KEY)
+    chosen = materialize(candidate_groups(first).join(nodes.select("node", "of.*"), "node").coalesce(files), "candidates")
+    # the candidates grow with the input: the texts meet them by a shuffle at any size, and need no sorting
+    again = given.select("k1", "k2", "body").join(chosen.hint("shuffle_hash"), ["k1", "k2"])
     sets = materialize(
         again.groupBy("node", F.col("group").alias("g")).agg(F.first("body").alias("body")).select("g", "node", "body")
         .mapInArrow(_sets(width, percent), "g bigint, node bigint, tokens array<bigint>, head array<bigint>, shared bigint"), "sets")

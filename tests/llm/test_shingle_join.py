@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from llm.cases import WORD, awkward, components, empty, lowered, rows
 
-from panelflow.llm.shingle_join import _Words, linked, shingle_join, shingle_set, taken
+from panelflow.llm.shingle_join import _Words, linked, shingle_join, shingle_sets, taken
 
 
 def shingles(text, width):
@@ -58,11 +58,11 @@ def test_empty(spark):
 
 
 def test_words_and_repeats():
-    words = _Words()
-    assert len(shingle_set("A b a B  a\tb c".encode(), 3, words)) == 3  # aba, bab, abc
-    assert (shingle_set("É x y z".encode(), 2, words) == shingle_set("É X Y z".encode(), 2, words)).all()
-    assert len(shingle_set(b"one two", 3, words)) == 1
-    assert not len(shingle_set(None, 3, words))
+    texts = ["A b a B  a\tb c", "a b A b a b c", "É x y z", "É X\x0bY z", "é x y z", "one two", None, "", " \n", "x"]
+    sets = shingle_sets([t and t.encode() for t in texts], 3, _Words())
+    assert [len(s) for s in sets] == [len(shingles(t, 3)) for t in texts]
+    assert (sets[0] == sets[1]).all() and (sets[2] == sets[3]).all()
+    assert len(np.intersect1d(sets[2], sets[4])) == 1 and shingle_sets([], 3, _Words()) == []
 
 
 @pytest.mark.parametrize("percent", [50, 80, 90, 95, 100])
