@@ -147,12 +147,17 @@ def format_source(element: Column, source_url: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sorts digit runs as numbers and the rest without case: page2 before page10."""
+    """Sorts digit runs as numbers of any length and the rest without case: page2 before page10.
+
+    A number is its length without leading zeros, then its digits as text; no digits come before zero.
+    """
     pattern = F.lit(r"(\D*)(\d*)")
-    return F.zip_with(
-        F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)),
-        lambda word, digits: F.struct(F.lower(word).alias("text"), digits.try_cast("decimal(38,0)").alias("number")),
-    )
+
+    def part(word: Column, digits: Column) -> Column:
+        plain = F.regexp_replace(digits, "^0+", "")
+        return F.struct(F.lower(word).alias("text"), F.when(digits != "", F.length(plain)).alias("size"), plain.alias("digits"))
+
+    return F.zip_with(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), part)
 
 
 def number_key(label: Column) -> Column:

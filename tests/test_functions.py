@@ -123,6 +123,9 @@ def test_formats(spark):
 def test_natural_order(spark):
     df = spark.createDataFrame([("page10",), ("page2",), ("Page1",), ("page",), ("1",), ("page2b",)], "s string")
     assert [r.s for r in df.orderBy(t.natural_key(F.col("s"))).collect()] == ["1", "page", "Page1", "page2", "page2b", "page10"]
+    big = ["p10", "p" + "9" * 40, "p2", "p" + "1" * 41, "p0002x", "p", "p0", "p" + "0" * 60 + "3"]
+    ordered = spark.createDataFrame([(s,) for s in big], "s string").orderBy(t.natural_key(F.col("s")), "s").collect()
+    assert [r.s for r in ordered] == ["p", "p0", "p2", "p0002x", "p" + "0" * 60 + "3", "p10", "p" + "9" * 40, "p" + "1" * 41]
 
 
 def test_output_name_and_number_key(spark):
