@@ -38,6 +38,7 @@ MAGIC = b"PFTOKEN1"
 _HEAD = struct.Struct("<8sQQQB7x")  # magic, documents, of them without identifier, ids, bytes an id
 CORE_WORDS, CACHE_WORDS = 100_000, 250_000  # words met first, most of them common, are kept for good
 READ_DOCS = 4_096
+FILE_BYTES = 16 << 20  # text in a file, on average
 #: The library's byte-level splitting pattern (fixed value), with places for letters, numbers and blanks.
 PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 
@@ -156,11 +157,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
 
     Each text is encoded with the tokenizers library and closed by ``end_id``; null counts as empty. Documents come
     in ascending order of their integer identifiers, rows without one first, equal ones in the order of their texts'
-    hashes. ``base`` is the number of ids in all earlier files. An empty table gives no files.
+    hashes. Without ``shards``, files hold :data:`FILE_BYTES` of text each. ``base`` is the number of ids in all earlier files. An empty table gives no files.
     """
     folder = qualified(docs.sparkSession, folder)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), F.col(text).alias("body"))
-    count = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = shards or max(1, -(-(docs.agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0) // FILE_BYTES))
     ordered = rows.repartitionByRange(count, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "body")
     files = materialize(
         ordered.select("doc_id", "body").mapInArrow(_writer(tokenizer, folder, end_id), "shard bigint, path string, n_docs bigint, n_tokens bigint")
@@ -226,7 +227,8 @@ def read_token_files(files: DataFrame, digest: bool = False) -> DataFrame:
     ``digest`` gives ids_crc32 in place of ids: the CRC-32 of the ids as little-endian unsigned 32-bit integers.
     """
     last = "ids_crc32 bigint" if digest else "ids array<bigint>"
-    return files.select("path", "base").repartition("path").mapInArrow(_reader(digest), f"doc_id bigint, start bigint, n_tokens bigint, {last}")
+    # a number, since a list of files is small and would else be read by a single task
+    return files.select("path", "base").repartition(max(1, files.count())).mapInArrow(_reader(digest), f"doc_id bigint, start bigint, n_tokens bigint, {last}")
 
 
 def token_file_report(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

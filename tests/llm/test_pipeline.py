@@ -5,7 +5,7 @@ import corpus_pipeline
 import public_tokenizers
 from llm.cases import WORD, components, lowered, quality, rows
 from llm.test_mixing import shares
-from llm.test_simhash import alike, like_marks
+from llm.test_near_duplicates import near, shingles
 from tokenizers import Tokenizer
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -30,7 +30,7 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert set(rows(made[2], *names)) == second and len(second) < len(first)
 
     order = sorted(second)
-    third = {order[min(part)] for part in components([like_marks(r[1]) for r in order], linked=alike)}
+    third = {order[min(part)] for part in components([shingles(r[1]) for r in order], linked=near)}
     assert set(rows(made[3], *names)) == third and len(third) < len(second)
 
     sizes, taken = defaultdict(int), defaultdict(int)

@@ -60,9 +60,8 @@ def test_drop_leaves_one_of_each(spark, limit):
 
 
 def alike(a, b):
-    """Within 14 of 128 bits, and within one bit in a segment of the first 64."""
-    segments = [(1 << 22) - 1, ((1 << 21) - 1) << 22, ((1 << 21) - 1) << 43]
-    return (a ^ b).bit_count() <= 14 and min(((a ^ b) & s).bit_count() for s in segments) <= 1
+    """Within 14 of 128 bits: eight segments with one bit wiped out find every such pair."""
+    return (a ^ b).bit_count() <= 14
 
 
 def like_marks(text):

@@ -57,6 +57,14 @@ def test_files_and_what_they_hold(spark, tmp_path):
     assert not [p for p in (tmp_path / "ids").iterdir() if p.suffix == ".ids"]
 
 
+def test_files_are_read_by_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 20).alias("text"))
+    files = write_token_files(docs, PATH, str(tmp_path / "ids"), 2, shards=8)
+    found = read_token_files(files).withColumn("task", F.spark_partition_id())
+    assert files.count() == 8 and found.select("task").distinct().count() == 8 and found.count() == 400
+
+
 def test_report(spark):
     df = awkward(spark)
     got = rows(token_file_report(df, PATH, 2))
