@@ -10,55 +10,28 @@ from pyspark.sql import functions as F
 from panelflow.functions.media import absolute_url, background_url, resolve_source
 from panelflow.functions.messages import fatal
 from panelflow.functions.values import zero_means_default
-from panelflow.session import materialize
-
-_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
-# possessive: a page may hold any number of characters that never become a tag
-_TAG = r"""(?i)<(?:[a-z][a-z0-9-]*+)(?:[\s/](?:"[^"]*+"|'[^']*+'|[^'">]++)*+)?+>"""
-
-
-def _attribute(tag: Column, name: str) -> Column:
-    pattern = rf"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    value = F.coalesce(*[F.nullif(F.regexp_extract(tag, pattern, g), F.lit("")) for g in (1, 2, 3)])
-    for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        value = F.replace(value, F.lit(entity), F.lit(char))
-    return value
+from panelflow.operators.page_tree import page_elements
+from panelflow.session import materialize, spread
 
 
 def harvest_images(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) -> one row per image-bearing element in document order.
+    """(page_id, url, html) -> one row per image-bearing element in document order, with its address.
 
-    Elements are img, canvas, svg and anything but html and body with a background
-    picture; scripts, styles and comments are left out first.
+    See :func:`page_elements` for what counts as one, and for how display, visibility and opacity come down the tree.
     """
-    tags = F.regexp_extract_all(F.regexp_replace("html", _HIDDEN, ""), F.lit(_TAG), F.lit(0))
-    tag = F.col("tag")
-    found = pages.select("page_id", "url", F.posexplode(tags).alias("position", "tag")).where(
-        tag.rlike(r"(?i)^<(img|canvas|svg)\b") | (tag.rlike(r"(?i)\sstyle\s*=.*url\(") & ~tag.rlike(r"(?i)^<(html|body)\b")))
-    names = ("src", "data-src", "data-original", "data-lazy-src", "srcset", "data-srcset", "style", "width", "height")
-    raw = found.select(
-        "page_id", "url", F.col("position").cast("bigint").alias("position"),
-        F.lower(F.regexp_extract(tag, "^<([A-Za-z][A-Za-z0-9-]*)", 1)).alias("element"),
-        *[_attribute(tag, n).alias(n.replace("-", "_")) for n in names],
-    )
-    attributes = {n.replace("-", "_"): F.col(n.replace("-", "_")) for n in names}
-    element, style = F.col("element"), F.col("style")
+    raw = page_elements(spread(pages))
+    element = F.col("element")
     source = (
-        F.when(element == "img", resolve_source(attributes, F.col("url")))
+        F.when(element == "img", resolve_source({n: F.col(n) for n in raw.columns}, F.col("url")))
         .when(element == "canvas", "canvas:").when(element == "svg", "inline-svg:")
-        .otherwise(absolute_url(background_url(style), F.col("url")))
+        .otherwise(absolute_url(background_url(F.col("background")), F.col("url")))
     )
-
-    def styled(name: str, default: str) -> Column:
-        return F.coalesce(F.nullif(F.regexp_extract(style, rf"(?i)(?:^|[;\s]){name}\s*:\s*([^;\s]+)", 1), F.lit("")), F.lit(default))
-
     return raw.select(
         "page_id", F.col("url").alias("page_url"), "position", "element",
         F.coalesce(source, F.lit("screen-capture:")).alias("source_url"),
         F.regexp_extract("width", r"^\d+", 0).try_cast("bigint").alias("width"),
         F.regexp_extract("height", r"^\d+", 0).try_cast("bigint").alias("height"),
-        styled("visibility", "visible").alias("visibility"), styled("display", "inline").alias("display"),
-        styled("opacity", "1").try_cast("double").alias("opacity"),
+        "visibility", "display", "opacity",
     )
 
 

@@ -73,8 +73,26 @@ class Renderer(Protocol):
         """(cache_key, content_hash, regions) -> (cache_key, rendered binary)."""
 
 
+def _by_halves(
+    function: Callable[[pd.DataFrame], pd.DataFrame], batch: pd.DataFrame, failed: Callable[[pd.DataFrame, str], pd.DataFrame]
+) -> Iterator[pd.DataFrame]:
+    """The function's answers with no error; of a batch that fails the halves are tried, down to the rows at fault."""
+    parts = [batch]
+    while parts:
+        part = parts.pop()
+        try:
+            answer = function(part).assign(error=None)
+        except Exception as error:  # one bad row must not stop the job, nor fail its neighbours
+            half = len(part) // 2
+            if half:
+                parts += [part.iloc[half:], part.iloc[:half]]
+                continue
+            answer = failed(part, f"{type(error).__name__}: {error}")
+        yield answer
+
+
 class FunctionTranslator:
-    """Calls a Python function on Arrow batches of at most ``parallelism`` partitions."""
+    """Calls a Python function on Arrow batches of at most ``parallelism`` partitions; a bad row fails alone."""
 
     def __init__(self, function: Callable[[pd.DataFrame], pd.DataFrame], parallelism: int | None = None):
         self.function, self.parallelism = function, parallelism
@@ -84,10 +102,7 @@ class FunctionTranslator:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                try:
-                    yield function(batch).assign(error=None)
-                except Exception as error:  # one bad batch must not stop the job
-                    yield batch.assign(translated=None, error=f"{type(error).__name__}: {error}")
+                yield from _by_halves(function, batch, lambda part, error: part.assign(translated=None, error=error))
 
         source = texts if self.parallelism is None else texts.repartition(self.parallelism)
         schema = ", ".join([*(f"`{n}` {k}" for n, k in texts.dtypes), "translated string, error string"])
@@ -137,7 +152,7 @@ class RuleReviewer:
 
 
 class FunctionReviewer:
-    """A reviewer calling a Python function on batches; failures become the ``error`` column."""
+    """A reviewer calling a Python function on batches; failures become the ``error`` column, row by row."""
 
     ANSWER = f"passed boolean, summary string, issues array<string>, regions {REGIONS_TYPE}, error string"
 
@@ -149,11 +164,8 @@ class FunctionReviewer:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                try:
-                    yield function(batch).assign(error=None)
-                except Exception as error:
-                    yield pd.DataFrame({"work_id": batch["work_id"], "passed": None, "summary": None, "issues": None,
-                                        "regions": None, "error": f"{type(error).__name__}: {error}"})
+                yield from _by_halves(function, batch, lambda part, error: pd.DataFrame(
+                    {"work_id": part["work_id"], "passed": None, "summary": None, "issues": None, "regions": None, "error": error}))
 
         return pending.mapInPandas(run, schema=f"work_id {dict(pending.dtypes)['work_id']}, {self.ANSWER}")
 

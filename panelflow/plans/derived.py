@@ -143,6 +143,22 @@ SELECT page_id, url, html || CASE page_id % 10
   ELSE '<img alt="none" width="900" height="900">' END || CASE WHEN page_id % 97 = 13 THEN '<div ' || repeat('x', 1000000) ELSE '' END AS html
 FROM pages"""
 
+# pages whose pictures depend on what is around them
+VIEWS["v_pages_tree"] = """
+SELECT page_id, url, html || CASE page_id % 10
+  WHEN 0 THEN '<div style="display:none"><p><img src="/h.png" width="300" height="200"></p></div>'
+  WHEN 1 THEN '<div hidden><section><img src="/h.png" width=300 height=200></section></div>'
+  WHEN 2 THEN '<div style="visibility:hidden"><img src="/a.png" width="300"><img src="/b.png" width="300" style="visibility:visible"></div>'
+  WHEN 3 THEN '<div style="opacity:.2"><div style="opacity:0.2"><img src="/o.png"></div></div><div style="opacity:50%"><img src="/q.png"></div>'
+  WHEN 4 THEN '<template><img src="/t.png"></template><textarea><img src="/x.png"></textarea><noscript><img src="/n.png"></noscript><img src="/i.png">'
+  WHEN 5 THEN '<style>.zhero{background:url("/hero.png")} #ztop{background-image:url(/top.png)} x-m{background:#fff url(/m.png)} .zhero.zoff{background:none}'
+    || ' @media print{x-m{background:none}}</style><div class="big zhero"></div><div id="ztop" class="zhero"></div><x-m></x-m><div class="zhero zoff"></div>'
+  WHEN 6 THEN '<x-card><template shadowrootmode="open"><style>x-b{background:url(/s.png)}</style><x-b>x</x-b><img src="/in.png"></template></x-card><x-b>y</x-b>'
+  WHEN 7 THEN '<style>.zgone{display:none} .zpic::before{content:"";background:url(/p.png)}</style><div class=zgone><img src="/g.png"></div><span class="zpic"></span>'
+  WHEN 8 THEN '<ul><li hidden><img src="/l1.png"><li><img src="/l2.png"></ul>'
+  ELSE '<p style="display:none">x<div><img src="/d.png"></div>' END AS html
+FROM pages"""
+
 # work requests with payloads, some not acceptable
 VIEWS["v_requests"] = """
 SELECT conv_id, turn, text, CASE turn % 5 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' WHEN 2 THEN 'image/gif' WHEN 3 THEN NULL ELSE 'image/webp' END AS mime,

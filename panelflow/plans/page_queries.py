@@ -22,6 +22,13 @@ def harvest_images(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shown", p.visible(F.col("visibility"), F.col("display"), F.col("opacity"), F.lit(False))).drop("visibility", "display", "opacity")
 
 
+def page_tree_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures under hidden parents, in shadow roots and in the pages' own style sheets."""
+    shown = p.visible(F.col("visibility"), F.col("display"), F.col("opacity"), F.lit(False))
+    return p.harvest_images(view(spark, sf_dir, "v_pages_tree", heavy=True)).select(
+        "page_id", "element", "source_url", "visibility", "display", F.round("opacity", 6).alias("opacity"), shown.alias("shown"))
+
+
 def screened_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates left after size, visibility and the already seen ones."""
     rows = _candidates(spark, sf_dir)
@@ -146,6 +153,7 @@ found AS (
 
 QUERIES = {
     "harvest_images": harvest_images,
+    "page_tree_images": page_tree_images,
     "screened_candidates": screened_candidates,
     "harvest_job": harvest_job,
     "match_requested": match_requested,
@@ -158,6 +166,16 @@ QUERIES = {
 
 ORACLES = {
     "harvest_images": with_views(_HARVEST + " SELECT * FROM found", "v_pages_rich"),
+    "page_tree_images": with_views("""
+WITH e(k, element, path, visibility, display, opacity, shown) AS (VALUES
+  (0, 'img', '/h.png', 'visible', 'none', 1.0::DOUBLE, FALSE), (1, 'img', '/h.png', 'visible', 'none', 1.0::DOUBLE, FALSE), (2, 'img', '/a.png', 'hidden', 'inline', 1.0::DOUBLE, FALSE),
+  (2, 'img', '/b.png', 'visible', 'inline', 1.0::DOUBLE, TRUE), (3, 'img', '/o.png', 'visible', 'inline', 0.04::DOUBLE, FALSE), (3, 'img', '/q.png', 'visible', 'inline', 0.5::DOUBLE, TRUE),
+  (4, 'img', '/i.png', 'visible', 'inline', 1.0::DOUBLE, TRUE), (5, 'div', '/hero.png', 'visible', 'inline', 1.0::DOUBLE, TRUE), (5, 'div', '/top.png', 'visible', 'inline', 1.0::DOUBLE, TRUE),
+  (5, 'x-m', '/m.png', 'visible', 'inline', 1.0::DOUBLE, TRUE), (6, 'x-b', '/s.png', 'visible', 'inline', 1.0::DOUBLE, TRUE), (6, 'img', '/in.png', 'visible', 'inline', 1.0::DOUBLE, TRUE),
+  (7, 'img', '/g.png', 'visible', 'none', 1.0::DOUBLE, FALSE), (7, 'span', '/p.png', 'visible', 'inline', 1.0::DOUBLE, TRUE), (8, 'img', '/l1.png', 'visible', 'none', 1.0::DOUBLE, FALSE),
+  (8, 'img', '/l2.png', 'visible', 'inline', 1.0::DOUBLE, TRUE), (9, 'img', '/d.png', 'visible', 'inline', 1.0::DOUBLE, TRUE))
+SELECT page_id, element, regexp_extract(url, '^(https?://[^/?#]+)', 1) || path AS source_url, visibility, display, opacity, shown
+FROM v_pages_tree JOIN e ON page_id % 10 = k""", "v_pages_tree"),
     "screened_candidates": with_views(_HARVEST + """
 SELECT element, count(*) AS n, CAST(sum(page_id) AS BIGINT) AS page_id_sum, CAST(sum(width) AS BIGINT) AS width_sum FROM found
 WHERE big AND shown AND page_id % 30 <> 0 AND NOT (page_id % 20 = 4 AND element = 'img') GROUP BY element""", "v_pages_rich"),

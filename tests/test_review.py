@@ -105,3 +105,22 @@ def test_equal_and_null_keys_keep_their_translation(spark):
     lexicon = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C")], "token string, target string")
     got = sorted((x.id or 0, x.original, x.translated) for x in r.LexiconTranslator(lexicon).translate(texts).collect())
     assert got == [(0, "a", "A"), (0, "b", "B"), (1, "a", "A"), (1, "c", "C")]
+
+
+def test_a_bad_row_fails_alone(spark):
+    def translate(batch):
+        if (batch["original"] == "bad").any():
+            raise ValueError("no such word")
+        return batch.assign(translated=batch["original"].str.upper())
+
+    texts = spark.createDataFrame([(k, "bad" if k in (7, 31) else f"t{k}") for k in range(50)], "id int, original string").coalesce(1)
+    got = {t.id: (t.translated, t.error) for t in r.FunctionTranslator(translate).translate(texts).collect()}
+    assert got == {k: (None, "ValueError: no such word") if k in (7, 31) else (f"T{k}", None) for k in range(50)}
+
+    def review(batch):
+        if (batch["work_id"] == 3).any():
+            raise RuntimeError("down")
+        return pd.DataFrame({"work_id": batch["work_id"], "passed": True, "summary": "", "issues": [[]] * len(batch), "regions": batch["regions"]})
+
+    pending = spark.range(20).selectExpr("id work_id", f"cast(array() as {r.REGIONS_TYPE}) regions").coalesce(1)
+    assert sorted((a.work_id, a.error) for a in r.FunctionReviewer(review).review(pending).collect()) == [(k, "RuntimeError: down" if k == 3 else None) for k in range(20)]
