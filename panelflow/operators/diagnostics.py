@@ -109,11 +109,12 @@ def failure_class(lines: DataFrame, runs: DataFrame) -> DataFrame:
     details = _details_per_run(diagnostic_details(lines, runs))
     signs = lines.groupBy("run_id").agg(F.bool_or(F.col("line").rlike(m.COMPATIBILITY)).alias("incompatible"))
     opening = Window.partitionBy("run_id").orderBy("seq")
-    # the refusal is looked for in the first 1200 characters, so in at most that many lines
+    # the refusal is looked for in the first 1200 characters, so in at most that many lines, each flat and cut
     head = lines.where((F.col("stream") == "stdout") & (strip_space(F.col("line")) != "")).withColumn(
         "__rn", F.row_number().over(opening)).where(F.col("__rn") <= m.DETAIL_LENGTH)
     refused = head.groupBy("run_id").agg(m.safety_blocked(F.array_join(
-        F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda s: s["line"]), " ")).alias("refused"))
+        F.transform(F.sort_array(F.collect_list(F.struct("seq", single_line(F.col("line"), m.DETAIL_LENGTH).alias("line")))), lambda s: s["line"]),
+        " ")).alias("refused"))
     rows = runs.join(details, "run_id", "left").join(signs, "run_id", "left").join(refused, "run_id", "left")
     no_texts = F.array().cast("array<string>")
     noted = F.array_compact(F.array_append(

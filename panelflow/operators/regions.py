@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -194,19 +195,49 @@ def overlap_report(regions: DataFrame, key: str = "image_id") -> DataFrame:
     )
 
 
+def _bins(size: float, start: float) -> list[tuple[int, int]]:
+    """Where along one axis a box may lie that overlaps one of this size and start by the copy limit.
+
+    Such a box is between 0.72 and 1 / 0.72 as long, and starts within (1 / 0.72 - 1) lengths.
+    """
+    reach = size * (1 / COPY_OVERLAP - 1) * (1 + 1e-9)
+    found = []
+    for k in range(math.frexp(size * COPY_OVERLAP * (1 - 1e-9))[1], math.frexp(size / COPY_OVERLAP * (1 + 1e-9))[1] + 1):
+        side = math.ldexp(1.0, k - 1)
+        found += [(k, c) for c in range(math.floor((start - reach) / side), math.floor((start + reach) / side) + 1)]
+    return found
+
+
+def _bin(size: float, start: float) -> tuple[int, int]:
+    k = math.frexp(size)[1]  # a bin is as wide as the shortest box of its class
+    return k, math.floor(start / math.ldexp(1.0, k - 1))
+
+
 class _KeepFirstCopy:
-    """Slots in order of creation; a more confident copy takes over the first slot it overlaps."""
+    """Slots in order of creation; a more confident copy takes over the first slot it overlaps.
+
+    Slots are found by a spatial hash over size and place, so a row is held against its neighbours only.
+    """
 
     def __init__(self, at: dict[str, int]):
         self.at = at
         self.slots: list[list] = []
+        self.near: dict[tuple, set[int]] = {}
+
+    def _home(self, left: float, top: float, right: float, bottom: float) -> tuple | None:
+        """The slot's bins; none for boxes without area, which overlap nothing."""
+        flat = not (right > left and bottom > top) or not all(map(math.isfinite, (left, top, right - left, bottom - top)))
+        return None if flat else _bin(right - left, left) + _bin(bottom - top, top)
 
     def step(self, row: tuple) -> Iterator[tuple]:
         at = self.at
         left, top, right, bottom = (row[at[e]] for e in EDGES)
         ord_, confidence = row[at["ord"]], row[at["__confidence"]]
         size = (right - left) * (bottom - top)
-        for slot in self.slots:
+        home = self._home(left, top, right, bottom)
+        found = home and {n for x in _bins(right - left, left) for y in _bins(bottom - top, top) for n in self.near.get(x + y, ())}
+        for number in sorted(found or ()):
+            slot = self.slots[number]
             shared_x = min(right, slot[3]) - max(left, slot[1])
             shared_y = min(bottom, slot[4]) - max(top, slot[2])
             if shared_x <= 0 or shared_y <= 0:
@@ -214,8 +245,12 @@ class _KeepFirstCopy:
             shared = shared_x * shared_y
             if shared / (size + slot[6] - shared) >= COPY_OVERLAP:
                 if confidence > slot[5]:
+                    self.near[self._home(*slot[1:5])].discard(number)
                     slot[1:] = [left, top, right, bottom, confidence, size, ord_]
+                    self.near.setdefault(home, set()).add(number)
                 return iter(())
+        if home:
+            self.near.setdefault(home, set()).add(len(self.slots))
         self.slots.append([ord_, left, top, right, bottom, confidence, size, ord_])
         return iter(())
 

@@ -106,7 +106,7 @@ def released_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(s.ordered_release_stream(ready), "released")
 
 
-def acknowledged_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _acknowledged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sign-ups as requests joined to the purchases and errors of the same user within three hours."""
     events = _stream(spark, sf_dir, "events")
     at = F.col("ts").cast("timestamp")
@@ -114,17 +114,32 @@ def acknowledged_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     acks = _stream(spark, sf_dir, "events").where("event_type in ('purchase', 'error')").select(
         (F.col("user_id") + 1).alias("request_id"), at.alias("acked_at"), (F.col("event_type") == "purchase").alias("success"),
         F.when(F.col("user_id") % 2 == 0, "zip").otherwise("img").alias("element_type"), F.lit("lost").alias("error"))
-    joined = _run(s.acknowledged_stream(requests, acks), "acknowledged")
-    return joined.where("acked_at is not null").groupBy("request_id").agg(
+    return _run(s.acknowledged_stream(requests, acks), "acknowledged")
+
+
+def acknowledged_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with an answer, and how many they got."""
+    return _acknowledged(spark, sf_dir).where("acked_at is not null").groupBy("request_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("success").alias("n_success"), F.min("message").alias("message"))
 
 
+def unanswered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that got no answer in time, as far as the watermark of both streams has come."""
+    kind = F.col("event_type")
+    last = table(spark, sf_dir, "events").agg(F.least(
+        F.max(F.when(kind == "signup", F.col("ts"))), F.max(F.when(kind.isin("purchase", "error"), F.col("ts"))))).first()[0]
+    settled = F.lit(last).cast("timestamp") - F.expr("interval 191 minutes")
+    return _acknowledged(spark, sf_dir).where("acked_at is null").where(F.col("requested_at") < settled).groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("n"), F.unix_seconds(F.max("requested_at")).alias("last_asked"))
+
+
 QUERIES = {
     "live_status": live_status,
     "attributed_lines": attributed_lines,
     "timed_out_passes": timed_out_passes,
     "released_entries": released_entries,
     "acknowledged_requests": acknowledged_requests,
+    "unanswered_requests": unanswered_requests,
 }
 
 ORACLES = {
@@ -167,4 +182,9 @@ SELECT s.user_id + 1 AS request_id, count(*) AS n, count(*) FILTER (a.event_type
     ELSE (CASE WHEN s.user_id % 2 = 0 THEN 'ZIP 이미지 저장' ELSE '페이지 이미지 교체' END) || ' 실패 · lost' END) AS message
 FROM events s JOIN events a ON a.user_id = s.user_id AND a.event_type IN ('purchase', 'error') AND a.ts BETWEEN s.ts AND s.ts + INTERVAL 3 HOUR
 WHERE s.event_type = 'signup' GROUP BY s.user_id""",
+    "unanswered_requests": """
+SELECT s.user_id + 1 AS request_id, count(*) AS n, max(floor(epoch(s.ts))::BIGINT) AS last_asked
+FROM events s ANTI JOIN (SELECT * FROM events WHERE event_type IN ('purchase', 'error')) a ON a.user_id = s.user_id AND a.ts BETWEEN s.ts AND s.ts + INTERVAL 3 HOUR
+WHERE s.event_type = 'signup' AND s.ts < least((SELECT max(ts) FROM events WHERE event_type = 'signup'),
+  (SELECT max(ts) FROM events WHERE event_type IN ('purchase', 'error'))) - INTERVAL 191 MINUTE GROUP BY s.user_id""",
 }

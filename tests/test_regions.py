@@ -1,6 +1,7 @@
 """Region QA against golden values and a straightforward fold."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -127,3 +128,47 @@ def test_scan_reviews(spark):
     (row,) = reviews.collect()
     assert (row.passed, row.summary, row.issues, row.n_regions) == (False, "s", ["a"], 1) and regions.count() == 1
     assert [x.violations for x in quarantine.collect()] == [["type:passed", "missing:summary", "type:issues"]]
+
+
+def test_slots_are_found_among_neighbours():
+    at = {"left": 0, "top": 1, "right": 2, "bottom": 3, "ord": 4, "__confidence": 5}
+
+    def scan(rows):
+        slots = []
+        for row in rows:
+            for slot in slots:
+                x = min(row[2], slot[1][2]) - max(row[0], slot[1][0])
+                y = min(row[3], slot[1][3]) - max(row[1], slot[1][1])
+                if x > 0 and y > 0:
+                    area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+                    if x * y / (area(row) + area(slot[1]) - x * y) >= 0.72:
+                        if row[5] > slot[1][5]:
+                            slot[1] = row
+                        break
+            else:
+                slots.append([row[4], row])
+        return [(first, row[4]) for first, row in slots]
+
+    rng = random.Random(2)
+    for _ in range(60):
+        scale, rows = rng.choice([1e-3, 1, 1000, 1e6]), []
+        for k in range(120):
+            left, top = (rng.uniform(-3, 3) * scale for _ in range(2))
+            rows.append((left, top, left + rng.choice([0, -1, 1, 1.1, 1.35, 2, 2.5]) * scale, top + rng.choice([1, 1.2, 1.39, 4]) * scale, k, rng.choice([0.1, 0.5, 0.9])))
+        rows.append((float("nan"), 0.0, 1.0, 1.0, 200, 0.5))
+        fold = r._KeepFirstCopy(at)
+        for row in rows:
+            fold.step(row)
+        assert list(fold.finish()) == scan(rows)
+
+
+def test_a_long_chain_takes_time_in_proportion():
+    at = {"left": 0, "top": 1, "right": 2, "bottom": 3, "ord": 4, "__confidence": 5}
+
+    def seconds(n):
+        fold, begin = r._KeepFirstCopy(at), time.perf_counter()
+        for k in range(n):
+            fold.step((k * 20.0, 0.0, k * 20.0 + 100, 100.0, k, k % 7 / 7))
+        assert n / 2 <= len(fold.slots) <= n
+        return time.perf_counter() - begin
+    assert seconds(100_000) < 30 * seconds(10_000)
