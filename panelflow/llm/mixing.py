@@ -17,10 +17,11 @@ import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelflow.session import materialize
+from panelflow.operators.ordered import numbered, running_sum
+from panelflow.session import files_for, materialize
 
 WEIGHTS, BUDGET, MAX_EPOCHS, SEED = (5.0, 2.0, 1.0), 1.5, 2.0, 20_240_501
 RANGE_ROWS = 8_192  # rows of the largest source that one hash range holds on average
@@ -46,32 +47,39 @@ def _measured(docs: DataFrame, text: str, source: str, doc_id: str, seed: int) -
         .mapInArrow(_sizes, f"doc_id {kinds[doc_id]}, source {kinds[source]}, score bigint, size bigint"), "sizes")
 
 
+def _in_blocks(rows: DataFrame, order: Column) -> DataFrame:
+    """``rows`` in a written table with ``block``, which rises with ``order``: no task holds all sources."""
+    return materialize(rows.repartitionByRange(files_for(rows.count()), order).withColumn("block", F.spark_partition_id()), "blocks")
+
+
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """(source, source_size) -> the same with ``target``: words the source should give.
 
     Weights repeat over the sources in the order of their names by code point, null last; the budget is a share of
     all words. A budget beyond all caps takes every source up to its cap.
     """
-    named = Window.orderBy(F.col("source").asc_nulls_last())
     ladder = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sizes.withColumn("place", F.row_number().over(named)).select(
-        "source", "source_size", "place", F.get(ladder, F.pmod(F.col("place") - 1, F.lit(len(weights)))).alias("weight"),
-        (F.col("source_size") * F.lit(float(max_epochs))).alias("cap"))
-    by_need = Window.orderBy(F.col("cap") / F.col("weight"), "place")
-    before = by_need.rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = Window.partitionBy()
-    level = (F.sum("source_size").over(all_rows) * F.lit(float(budget)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
-        F.sum("weight").over(by_need.rowsBetween(0, Window.unboundedFollowing)))
-    levelled = ranked.withColumn("level", level)
-    water = F.max("level").over(all_rows)
-    full = F.sum("source_size").over(all_rows) * F.lit(float(budget)) >= F.sum("cap").over(all_rows)
-    return levelled.select("source", "source_size", F.when(full, F.col("cap")).otherwise(F.least("cap", water * F.col("weight"))).alias("target"))
+    named = F.col("source").asc_nulls_last()
+    placed = numbered(_in_blocks(sizes, named), [], [named], "place", F.col("block"))
+    ranked = materialize(placed.select(
+        "source", "source_size", "place", F.get(ladder, F.pmod(F.col("place") - 1, F.lit(len(weights))).cast("int")).alias("weight"),
+        (F.col("source_size") * F.lit(float(max_epochs))).alias("cap")), "ranked")
+    words, caps, weight = ranked.agg(F.sum("source_size"), F.sum("cap"), F.sum("weight")).first()
+    if words is None or words * float(budget) >= caps:
+        return ranked.select("source", "source_size", F.col("cap").alias("target"))
+    need = F.struct(F.col("cap") / F.col("weight"), "place")
+    ladder_up = _in_blocks(ranked.withColumn("need", need), F.col("need"))
+    summed = running_sum(running_sum(ladder_up, [], "need", F.col("cap"), "caps", F.col("block")), [], "need", F.col("weight"), "below", F.col("block"))
+    # the level once all sources of lesser need are clamped
+    level = (F.lit(words * float(budget)) - (F.col("caps") - F.col("cap"))) / (F.lit(weight) - (F.col("below") - F.col("weight")))
+    water = summed.agg(F.max(level)).first()[0]
+    return ranked.select("source", "source_size", F.least("cap", F.lit(water) * F.col("weight")).alias("target"))
 
 
 def _rules(measured: DataFrame, weights: Sequence[float], budget: float, max_epochs: float) -> DataFrame:
     """source -> source_size, target, whole, cut (hash where the fractional repetition ends), part and tied.
 
-    Documents below ``cut`` are taken once more; those at it, ``tied`` words in all, give ``part`` words together.
+    A source whose target is whole repetitions only has no cut. Documents below ``cut`` are taken once more; those at it, ``tied`` words in all, give ``part`` words together.
     """
     by_source = materialize(measured.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
     most = by_source.agg(F.max("n").alias("n")).first().n or 0
@@ -88,7 +96,7 @@ def _rules(measured: DataFrame, weights: Sequence[float], budget: float, max_epo
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     inside = lambda: (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))
     edge = materialize(
-        ranges.join(wanted.select("source", "rest"), same(ranges, wanted), "inner").filter(inside())
+        ranges.join(wanted.select("source", "rest").filter("rest > 0"), same(ranges, wanted), "inner").filter(inside())
         .select(ranges["source"], "span", "before", "rest"), "edges")
     rows = measured.withColumn("span", span)
     near = rows.join(edge, same(rows, edge) & (rows["span"] == edge["span"])).select(rows["source"], "score", "size", F.col("before").alias("base"), "rest")

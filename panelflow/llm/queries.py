@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelflow.llm.alignment import align
 from panelflow.llm.bpe import encode
@@ -16,7 +17,7 @@ from panelflow.llm.shingle_join import shingle_join
 from panelflow.llm.simhash import simhash_dedup
 from panelflow.llm.substring_dedup import substring_dedup
 from panelflow.llm.token_files import token_file_report
-from panelflow.llm.url_templates import url_filter
+from panelflow.llm.url_templates import page_evidence, url_filter
 from panelflow.llm.vector_codes import vector_codes, vector_codes_sql
 
 #: The explicit rules of op3 (fixed values).
@@ -38,7 +39,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter(_table(spark, sf_dir, "pages"), URL_RULES)
+    return url_filter(_table(spark, sf_dir, "pages"), URL_RULES, bad=page_evidence(F.col("url"), F.col("html")))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,7 +228,7 @@ def _counted(runs: DataFrame, window: int) -> DataFrame:
     ends = F.filter("offs", lambda x, i: (i == F.size("offs") - 1) | (F.get("offs", i + 1) != x + 1))
     cuts = offs.select("r1", "r2", F.arrays_zip(begins.alias("a"), ends.alias("b")).alias("cuts"))
     # the places of a run, as one list for each part of the table they are read from
-    places = marked.groupBy("r1", "r2", F.spark_partition_id().alias("part")).agg(F.collect_list(F.struct("k1", "k2", "first")).alias("places"))
+    places = marked.groupBy("r1", "r2", F.spark_partition_id().alias("part")).agg(F.collect_set(F.struct("k1", "k2", "first")).alias("places"))
     found = places.join(cuts, ["r1", "r2"]).select(F.explode("places").alias("at"), "cuts").select("at.*", F.explode("cuts").alias("cut"))
     return found.select("k1", "k2", (F.col("first") + F.col("cut.a")).alias("begin"), (F.col("first") + F.col("cut.b") + window).alias("stop"))
 
@@ -269,7 +269,8 @@ def removed_stretches(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, g
     repeated = materialize(
         spots.groupBy("group").agg(F.count(F.lit(1)).alias("runs"), F.sum(F.col("more") + 1).alias("n"), F.bool_or("tied").alias("tied"))
         .filter("runs > 1 or tied").select("group", "n"), "repeated")
-    by_row = spots.join(repeated, "group").groupBy("k1", "k2").agg(F.collect_list(F.struct("group", "first", "more", "n")).alias("spots"))
+    # equal rows share a key and their spots: as a set, so that each of them fetches its own runs only
+    by_row = spots.join(repeated, "group").groupBy("k1", "k2").agg(F.collect_set(F.struct("group", "first", "more", "n")).alias("spots"))
     runs = materialize(
         by_row.join(rows, ["k1", "k2"]).select("body", "k1", "k2", "spots")
         .mapInArrow(_runs(window), "group bigint, n bigint, k1 bigint, k2 bigint, first bigint, words binary"), "runs")

@@ -24,6 +24,28 @@ SMOOTHING, MIN_PURITY, MIN_LABELLED, SIGNIFICANCE = 10.0, 0.4, 0.5, 1.96
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+# Fixed values of the evidence: signs of junk, words of addresses that lead to gambling, drugs, adult or spam pages.
+SIGNS, SIGN_SHARE, MIN_WORDS = "#*$%|", 0.05, 50
+BAD_WORDS = (
+    "adult", "bets", "betting", "casino", "escort", "gambling", "hentai", "jackpot", "pharmacy", "pills", "poker", "porn",
+    "roulette", "sex", "slots", "spam", "viagra", "warez", "webcam", "xxx",
+)
+_UNSEEN = r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[^<>]*>"
+
+
+def page_evidence(url: Column, html: Column) -> Column:
+    """Is the page bad by itself: a bad word in its address, too few words, or too large a share of signs in them?
+
+    Null where there is neither a page nor a bad word. Tags, comments, scripts and styles are not text.
+    """
+    host, path = host_and_path(url)
+    named = F.arrays_overlap(F.split(F.lower(F.concat(host, path)), "[^a-z]+"), F.array(*[F.lit(w) for w in BAD_WORDS]))
+    text = F.trim(F.regexp_replace(F.regexp_replace(html, _UNSEEN, " "), r"[\x20\x09-\x0D]+", " "))
+    solid = F.translate(text, " ", "")
+    n_words = F.when(text == "", 0).otherwise(F.length(text) - F.length(solid) + 1)
+    n_signs = F.length(solid) - F.length(F.translate(solid, SIGNS, ""))
+    return F.when(named, True).otherwise((n_words < MIN_WORDS) | (n_signs > SIGN_SHARE * F.length(solid)))
+
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Both empty where the URL is null or has no ``://``."""
@@ -89,7 +111,7 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]], url: str = "u
                min_purity: float = MIN_PURITY, min_labelled: float = MIN_LABELLED, significance: float = SIGNIFICANCE) -> DataFrame:
     """The verdict on every row: page_id, host, path, rule, verdict, template, purity.
 
-    ``bad`` labels pages of known quality (boolean, null: unknown); without it the pages that a rule fits are the
+    ``bad`` labels pages of known quality (boolean, null: unknown), such as :func:`page_evidence`; without it the pages that a rule fits are the
     labelled ones, and judge no page beside the path of their rule. Null URLs and those without ``://`` have an empty host and path and are judged with each other.
     Null or repeated identifiers are judged like any other row, an empty table gives no rows, and columns not named
     are not looked at. Templates show merged siblings in braces.

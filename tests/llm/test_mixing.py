@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from llm.cases import WORD, awkward, empty, rows
@@ -72,5 +72,20 @@ def test_rows_of_the_mix(spark):
     assert {i: n for i, n in found.items() if n} == {i: n for i, n in words.items() if n}
 
 
+def test_rows_without_words_keep_the_cap(spark):
+    texts = [(i, None if i % 2 else "", "small") for i in range(40)] + [(50, "a b c", "small")] + [(100 + i, "w " * 40, "large") for i in range(50)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, source string")
+    times = Counter(i for (i,) in rows(mixed_documents(df), "doc_id"))
+    assert max(times.values()) <= 2 and times[50] == 2
+
+
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr("panelflow.session.ROWS_PER_FILE", 9)  # many blocks
+    sizes = {f"s{i:03}": 7 * i * i % 101 + i % 3 for i in range(200)} | {None: 12}
+    want = shares(sizes)
+    got = rows(targets(spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")), "source", "target")
+    assert len(got) == len(sizes) and all(t == pytest.approx(want[s]) for s, t in got)
+
+
 def test_empty(spark):
     assert mix(empty(spark)).collect() == [] and mixed_documents(empty(spark)).collect() == []

@@ -1,10 +1,12 @@
 import hashlib
 import random
 from collections import Counter
+from contextlib import contextmanager
 
 import pytest
 from llm.cases import WORD, awkward, empty, rows
 
+import panelflow.llm.substring_dedup as module
 from panelflow.llm.substring_dedup import repeated_suffixes, substring_dedup
 
 
@@ -19,6 +21,22 @@ def plain(texts, window):
     return told
 
 
+@contextmanager
+def watched(label):
+    """The written tables of this label."""
+    found, plain_write = [], module.materialize
+    def write(df, name):
+        table = plain_write(df, name)
+        if name == label:
+            found.append(table)
+        return table
+    module.materialize = write
+    try:
+        yield found
+    finally:
+        module.materialize = plain_write
+
+
 @pytest.mark.parametrize("limit", [20, 65_536])
 def test_awkward_rows(spark, limit):
     passage = " ".join(f"shared{i}" for i in range(50))
@@ -36,6 +54,18 @@ def test_random_texts(spark, window, gram, limit, letters):
     assert got == plain(texts, window)
 
 
+def test_work_grows_with_equal_rows(spark):
+    """Each of the rows that repeat identifier and text fetches its own suffixes, not those of all of them."""
+    text = " ".join(f"w{k % 97}x{k % 13}" for k in range(400))
+    runs = []
+    for copies in (10, 40):
+        df = spark.createDataFrame([(None, text)] * copies, "doc_id bigint, text string")
+        with watched("runs") as written:
+            assert rows(substring_dedup(df, outputs=()), "n_words", "n_removed") == [(400, 400)] * copies
+        runs.append(written[0].count())
+    assert runs[1] == 4 * runs[0]
+
+
 def test_texts_and_spans(spark):
     df = spark.createDataFrame([(1, "x a b c y"), (2, "a b c z")], "doc_id bigint, text string")
     got = rows(substring_dedup(df, window=3, gram=2))

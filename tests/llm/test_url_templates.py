@@ -1,8 +1,10 @@
+import re
+
 from llm.cases import awkward, empty, rows
 from pyspark.sql import functions as F
 
-from panelflow.llm.queries import URL_RULES
-from panelflow.llm.url_templates import url_filter
+from panelflow.llm.queries import URL_RULES, op3_url_templates
+from panelflow.llm.url_templates import BAD_WORDS, page_evidence, url_filter
 
 URLS = [
     None, "", "no scheme/en/", "http://a.com/x", "HTTP://A.B.Com/en/1?q=/es/", "https://example.com/en/1", "https://www.example.com/en/1", "https://m.www.EXAMPLE.com/en/",
@@ -77,3 +79,39 @@ def test_other_rows(spark):
     got = rows(url_filter(awkward(spark), URL_RULES, page_id="doc_id"), "page_id", "host", "path", "rule", "verdict")
     assert sorted(got, key=str) == sorted([(i, "", "", None, "allow") for (i,) in rows(awkward(spark), "doc_id")], key=str)
     assert url_filter(empty(spark), URL_RULES, page_id="doc_id").collect() == []
+
+
+def evident(url, html):
+    host, path = parse(url)
+    if set(re.split("[^a-z]+", (host + path).lower())) & set(BAD_WORDS):
+        return True
+    if html is None:
+        return None
+    text = re.sub(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^<>]*>", " ", html)
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    solid = "".join(words)
+    return len(words) < 50 or sum(c in "#*$%|" for c in solid) > 0.05 * len(solid)
+
+
+def evidence_cases():
+    prose, junk = " ".join(["word"] * 60), " ".join(["wo###rd"] * 60)
+    htmls = [None, "", "<p>" + prose, junk, "<script>" + prose, f"<style>{prose}</style>few", f"<!-- {prose}", "<" * 5000, f"<p>{prose}<!-- x --><b>{junk[:40]}", prose + "<" * 50]
+    urls = [None, "", "http://a.org/x", "http://casino-win.org/x", "http://a.org/Poker/1", "http://pokers.org/x"]
+    return [(i, u, h) for i, (u, h) in enumerate((u, h) for u in urls for h in htmls)]
+
+
+def test_evidence_of_pages(spark):
+    df = spark.createDataFrame(evidence_cases(), "page_id bigint, url string, html string")
+    got = dict(rows(df.select("page_id", page_evidence(F.col("url"), F.col("html")).alias("bad"))))
+    assert got == {i: evident(u, h) for i, u, h in evidence_cases()}
+    assert {v for v in got.values()} == {True, False, None}
+
+
+def test_evidence_decides_templates(spark, tmp_path):
+    prose, junk = " ".join(["word"] * 60), " ".join(["wo###rd"] * 60)
+    found = [(f"http://h.org/{part}/{k}", junk if part == "bad" and k % 10 or k % 10 == 9 else prose) for part in ("good", "bad") for k in range(60)]
+    found += [(f"http://best-bets.org/{k}", prose) for k in range(30)] + [(f"http://x.org/{k}", None) for k in range(30)]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(found)], "page_id bigint, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(h, p.split("/")[1] if h == "h.org" else "", v) for h, p, v in rows(op3_url_templates(spark, str(tmp_path)), "host", "path", "verdict")}
+    assert got == {("h.org", "good", "allow"), ("h.org", "bad", "block"), ("best-bets.org", "", "block"), ("x.org", "", "allow")}
