@@ -211,10 +211,13 @@ def with_fallback(previous: DataFrame, answers: DataFrame, key: str = "work_id")
 def cached_renderings(wanted: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(found with ``rendered``, still to render): hits unless ``bypass``; one row per address to render.
 
-    Only the wanted addresses are fetched from the cache, and each of them once, whatever it holds twice.
+    Only the wanted addresses are fetched from the cache, and each of them once, whatever it holds twice: its rendering
+    of the latest ``round``, if the cache has that column.
     """
     asked = wanted.where(~F.col("bypass")).select("cache_key").distinct()
-    held = cache.where("rendered is not null").join(asked, "cache_key", "left_semi").groupBy("cache_key").agg(F.min("rendered").alias("rendered"))
+    age = F.col("round") if "round" in cache.columns else F.lit(0)
+    held = cache.where("rendered is not null").join(asked, "cache_key", "left_semi").groupBy("cache_key").agg(
+        F.min(F.struct((-age).alias("age"), "rendered")).getField("rendered").alias("rendered"))
     hits = wanted.where(~F.col("bypass")).join(held, "cache_key")
     misses = wanted.join(hits.select("work_id"), "work_id", "left_anti").groupBy("cache_key").agg(
         F.min("content_hash").alias("content_hash"), F.min_by("regions", "work_id").alias("regions"))
@@ -237,7 +240,7 @@ def review_loop(
     counts as a failed call. ``final`` says what is left to do: reuse the reviewed rendering,
     render once more (``final_bypass``: not from the cache), or nothing when no region is left.
     """
-    cache = _empty_cache(work) if cache is None else cache.select("cache_key", "rendered")
+    cache = (_empty_cache(work) if cache is None else cache.select("cache_key", "rendered")).withColumn("round", F.lit(0))
     active = work if "cancelled" not in work.columns else work.where(~F.coalesce("cancelled", F.lit(False)))
     start = materialize(
         active.select("work_id", "content_hash", "mode",
@@ -262,7 +265,7 @@ def review_loop(
         old = hits.select("cache_key", "rendered").dropDuplicates(["cache_key"]).join(fresh.select("cache_key"), "cache_key", "left_anti")
         shown = signed.join(
             fresh.withColumn("fresh", F.lit(True)).unionByName(old.withColumn("fresh", F.lit(False))), "cache_key", "left")
-        cache = fresh.unionByName(cache.join(fresh.select("cache_key"), "cache_key", "left_anti"))
+        cache = cache.unionByName(fresh.withColumn("round", F.lit(attempt)))  # a flat list of tables; lookups take the latest round
         answers = reviewer.review(shown.where("rendered is not null").select(
             "work_id", F.lit(attempt).alias("attempt"), "regions", "rendered", "mode", "max_attempts"))
         told = answers.select("work_id", F.col("passed").alias("__passed"), F.col("summary").alias("__summary"),
