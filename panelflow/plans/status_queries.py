@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from panelflow.functions import progress as p
 from panelflow.operators import status as s
 from panelflow.plans.derived import table, view, with_views
+from panelflow.session import scratch_path
+from panelflow.sources.log_files import scan_log
 
 
 def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +20,24 @@ def parse_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.parse_progress(view(spark, sf_dir, "v_log_lines", heavy=True).select("seq", "line"))
 
 
+def write_log(spark: SparkSession, sf_dir: str) -> str:
+    """The log lines as a folder of text files; the number of each stands before its line."""
+    path = scratch_path(spark, "log")
+    view(spark, sf_dir, "v_log_lines", heavy=True).select(F.concat(F.col("seq").cast("string"), F.lit("\t"), "line").alias("value")).write.text(path)
+    return path
+
+
+def parsed_log(lines: DataFrame) -> DataFrame:
+    """Lines as :func:`write_log` writes them, parsed."""
+    parts = F.split("line", "\t", 2)
+    return s.parse_progress(lines.select(F.get(parts, F.lit(0)).cast("bigint").alias("seq"), F.get(parts, F.lit(1)).alias("line")))
+
+
+def scan_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The progress log read from its files by byte ranges."""
+    return parsed_log(scan_log(spark, write_log(spark, sf_dir)))
+
+
 def attributed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attributed(spark, sf_dir).select("seq", "task_number", "source", "source_label", "row_key", "name")
 
@@ -157,6 +177,7 @@ n AS (SELECT *, lead(event_type) OVER w AS next_type, lead(seq) OVER w AS next_s
 
 QUERIES = {
     "parse_log_lines": parse_log_lines,
+    "scan_log_files": scan_log_files,
     "attributed_sources": attributed_sources,
     "latest_status": latest_status,
     "latest_status_with_skips": latest_status_with_skips,
@@ -202,3 +223,4 @@ FROM n WHERE event_type = 'view' AND next_type = 'click'""",
 SELECT task_number, label, seq AS start_seq, next_type IS DISTINCT FROM 'click' AS running FROM n
 WHERE event_type = 'view' AND coalesce(CASE WHEN next_type = 'click' THEN next_at END, epoch(TIMESTAMP '2024-01-31')::BIGINT) - at_s > 172800""",
 }
+ORACLES["scan_log_files"] = ORACLES["parse_log_lines"]

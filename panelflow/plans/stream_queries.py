@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelflow.plans.derived import table, view_text, with_views
-from panelflow.plans.status_queries import ORACLES as STATUS
+from panelflow.plans.status_queries import ORACLES as STATUS, parsed_log, write_log
 from panelflow.session import scratch_path
+from panelflow.sources.log_files import stream_log
 from panelflow.streaming import passes, progress as s
 
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -37,6 +38,11 @@ def attributed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.where("not timed_out").select("seq", "task_number", "source", "source_label", "row_key", "name")
 
 
+def stream_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's files as a stream of lines; equals the batch scan."""
+    return _run(parsed_log(stream_log(spark, write_log(spark, sf_dir))), "lines")
+
+
 @contextmanager
 def _state_partitions(spark: SparkSession):
     """State partitions are fixed when a stream first starts: no more than cores for a one-off run."""
@@ -136,6 +142,7 @@ def unanswered_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "live_status": live_status,
     "attributed_lines": attributed_lines,
+    "stream_log_files": stream_log_files,
     "timed_out_passes": timed_out_passes,
     "released_entries": released_entries,
     "acknowledged_requests": acknowledged_requests,
@@ -145,6 +152,7 @@ QUERIES = {
 ORACLES = {
     "live_status": STATUS["latest_status"],
     "attributed_lines": STATUS["attributed_sources"],
+    "stream_log_files": STATUS["parse_log_lines"],
     "timed_out_passes": f"""
 WITH l AS (
   SELECT user_id AS task_number, event_id % 2 + 1 AS image_number, event_id AS seq, {_BASE} + (floor(epoch(ts))::BIGINT - {_BASE}) // {_FASTER} AS sec,
