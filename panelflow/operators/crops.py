@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions import geometry as g
 from panelflow.functions.values import clamp, half_up, strip_space
+from panelflow.operators.dominance import boxes_apart
 from panelflow.operators.folds import ordered_fold
 from panelflow.operators.ordered import numbered
 from panelflow.session import materialize
@@ -332,26 +333,27 @@ def sheet_regions(tiles: DataFrame, regions: DataFrame, key: str = "image_id") -
     )
 
 
-def crop_overlaps(boxes: DataFrame, key: str = "image_id", cell: int = 256) -> DataFrame:
-    """Per distinct box of an image: how many boxes it strictly overlaps.
+def crop_overlaps(boxes: DataFrame, key: str = "image_id", few: int = 64) -> DataFrame:
+    """Per distinct box of an image: its copies and how many other boxes it strictly overlaps.
 
-    Equal boxes are counted first; partners meet in the grid cells they cover, and a
-    pair counts only in the cell holding the corner of its intersection.
+    Equal boxes are counted first, into a written table. On an image of at most ``few`` distinct boxes they meet each other; on a crowded one
+    the boxes apart are counted (see :mod:`dominance`) and the rest overlaps, so no box ever meets more than ``few``.
+    Edges are whole numbers; boxes without area, or with an edge missing, overlap nothing and are left out.
     """
-    distinct = boxes.groupBy(key, *g.EDGES).agg(F.count(F.lit(1)).alias("n"))
-
-    def cells(low: str, high: str) -> Column:
-        return F.sequence(F.floor(F.col(low) / cell), F.floor((F.col(high) - 1) / cell))
-
-    binned = distinct.withColumn("__x", F.explode(cells("left", "right"))).withColumn(
-        "__y", F.explode(cells("top", "bottom")))
-    other = binned.select(key, "__x", "__y", F.col("n").alias("o_n"), *[F.col(e).alias(f"o_{e}") for e in g.EDGES])
-    first_x, first_y = F.greatest("left", "o_left"), F.greatest("top", "o_top")
-    met = binned.join(other, [key, "__x", "__y"]).where(
+    # the filter works on the written table: pushed down, it would repeat the long expressions behind every edge
+    distinct = materialize(boxes.groupBy(key, *g.EDGES).agg(F.count(F.lit(1)).alias("n")), "boxes").where("right > left and bottom > top")
+    pages = distinct.groupBy(key).agg(
+        F.count(F.lit(1)).alias("__distinct"), F.sum("n").alias("__all"),
+        F.min("left").alias("__x0"), F.min("top").alias("__y0"), F.max("right").alias("__x1"), F.max("bottom").alias("__y1"))
+    rows = distinct.join(pages, key)
+    calm, crowded = rows.where(F.col("__distinct") <= few), rows.where(F.col("__distinct") > few)
+    other = calm.select(key, F.col("n").alias("o_n"), *[F.col(e).alias(f"o_{e}") for e in g.EDGES])
+    met = calm.join(other, key).where(
         (F.col("left") < F.col("o_right")) & (F.col("right") > F.col("o_left"))
-        & (F.col("top") < F.col("o_bottom")) & (F.col("bottom") > F.col("o_top"))
-        & (F.floor(first_x / cell) == F.col("__x")) & (F.floor(first_y / cell) == F.col("__y"))
-    )
+        & (F.col("top") < F.col("o_bottom")) & (F.col("bottom") > F.col("o_top")))
     # every box meets itself once; that pair stands for its equal copies
-    return met.groupBy(key, *g.EDGES).agg(
-        F.max("n").alias("n_equal"), (F.sum("o_n") - 1).alias("n_overlapping"))
+    near = met.groupBy(key, *g.EDGES).agg(F.max("n").alias("n_equal"), (F.sum("o_n") - 1).alias("n_overlapping"))
+    far = boxes_apart(crowded, key)
+    counted = crowded.join(far, [key, *g.EDGES], "left").select(
+        key, *g.EDGES, F.col("n").alias("n_equal"), (F.col("__all") - F.coalesce("apart", F.lit(0)) - 1).alias("n_overlapping"))
+    return near.unionByName(counted)

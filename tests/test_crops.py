@@ -127,6 +127,34 @@ def test_crop_overlaps_is_strict(spark):
     assert got == {(0, 0): (2, 2), (300, 0): (1, 1), (299, 299): (1, 3)}
 
 
+def test_crowded_pages_count_overlaps_without_pairs(spark):
+    rng = random.Random(11)
+    boxes = [(7, 0, 0, 900, 900), (7, 5, 5, 5, 40), (7, None, 1, 2, 3)]
+    for page, n, side in ((1, 150, 400), (2, 90, 12), (3, 3, 50), (4, 1, 9)):
+        for _ in range(n):
+            x, y = rng.randrange(-side // 2, side), rng.randrange(side)
+            boxes.append((page, x, y, x + rng.randrange(1, side // 3 + 2), y + rng.randrange(1, side // 3 + 2)))
+    df = spark.createDataFrame(boxes * 2, "image_id bigint, left bigint, top bigint, right bigint, bottom bigint")
+    want = {}
+    whole = [b for b in boxes if None not in b and b[3] > b[1]] * 2
+    for p, l, t, r, b in set(whole):
+        met = sum(q[0] == p and l < q[3] and r > q[1] and t < q[4] and b > q[2] for q in whole)
+        want[p, l, t, r, b] = (whole.count((p, l, t, r, b)), met - 1)
+    for few in (0, 64, 1000):
+        got = {tuple(x[:5]): tuple(x[5:]) for x in c.crop_overlaps(df, few=few).collect()}
+        assert got == want
+
+
+def test_a_crowded_page_costs_no_pairs(spark):
+    n = 60_000
+    df = spark.range(n).select(
+        F.lit(1).alias("image_id"), (F.col("id") % 300).alias("left"), F.floor(F.col("id") / 300).alias("top"),
+        (F.col("id") % 300 + 400).alias("right"), (F.floor(F.col("id") / 300) + 400).alias("bottom"))
+    begin = time.time()
+    assert c.crop_overlaps(df).agg(F.min("n_overlapping"), F.max("n_overlapping"), F.count("*")).first()[:] == (n - 1, n - 1, n)
+    assert time.time() - begin < 60  # 3.6 billion pairs overlap
+
+
 def test_captions_overflow(spark):
     df = spark.createDataFrame([("가" * 400, "horizontal", "dialogue", 60.0, 60.0, 20.0), ("가", "vertical", "dialogue", 300.0, 300.0, 20.0)],
                                "translated string, orientation string, region_kind string, layout_width double, layout_height double, font_px double")
