@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelflow.functions import text as t
 from panelflow.operators import archives as a
+from panelflow.operators.metrics import StageMetrics
 from panelflow.plans.derived import table, view, with_views
 from panelflow.session import scratch_path
 from panelflow.sources import archives as source
@@ -45,6 +46,14 @@ def archive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.lit(None).cast("boolean").alias("aborted"), F.lit(None).cast("double").alias("percent"), "problem"))
 
 
+def stage_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of two stages of the archive job: images with their outcome, then archives."""
+    metrics = StageMetrics()
+    rows = metrics.written(_results(spark, sf_dir), "entries", F.col("outcome") == "failed")
+    metrics.written(a.archive_summary(rows), "archives", (F.col("failed") > 0) | F.col("aborted"))
+    return metrics.table(spark)
+
+
 def images_to_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images not in the skip table, by the stages a skip is looked up at."""
     images = _images(spark, sf_dir)
@@ -156,6 +165,7 @@ QUERIES = {
     "number_images": number_images,
     "entry_outcomes": entry_outcomes,
     "archive_summary": archive_summary,
+    "stage_counters": stage_counters,
     "images_to_run": images_to_run,
     "ordered_release": ordered_release,
     "upsert_entries": upsert_entries,
@@ -174,6 +184,10 @@ SELECT archive, count(*) FILTER (outcome = 'translated') AS translated, count(*)
   round(count(*) FILTER (entry_index % 3 <> 0) * 100 / count(*), 6) AS percent, NULL::VARCHAR AS problem FROM worded GROUP BY archive
 UNION ALL SELECT archive_id, NULL, NULL, NULL, NULL, NULL, 'no_images' FROM v_entries
 WHERE archive_id NOT IN (SELECT archive FROM images) GROUP BY archive_id""", "v_entries"),
+    "stage_counters": with_views(_OUTCOMES + """
+, totals AS (SELECT archive, bool_or(outcome IN ('failed', 'cancelled')) AS bad FROM worded GROUP BY archive)
+SELECT 'entries' AS stage, count(*) AS n_rows, count(*) FILTER (outcome = 'failed') AS n_failed FROM worded
+UNION ALL SELECT 'archives', count(*), count(*) FILTER (bad) FROM totals""", "v_entries"),
     "images_to_run": with_views(_IMAGES + """
 SELECT archive, image_number, name FROM images i WHERE NOT EXISTS (
   SELECT 1 FROM customer c WHERE c.c_custkey = i.archive AND c.c_nationkey % 5 + 1 = i.image_number)""", "v_entries"),

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelflow.operators import archives as a
+from panelflow.operators.metrics import StageMetrics
 from panelflow.sources import archives as source
 
 
@@ -127,3 +128,11 @@ def test_changed_manual_reviews_replace_their_entry(spark, folder, tmp_path):
     assert [tuple(r) for r in unknown.collect()] == [("two.zip", 7)]
     with zipfile.ZipFile(tmp_path / "out" / "one.zip") as z:
         assert [z.read(i) for i in z.infolist()] == [b"", b"new", b"read me", b"one", b"no suffix"]
+
+
+def test_stage_metrics_count_what_is_written(spark):
+    metrics = StageMetrics()
+    rows = metrics.written(spark.createDataFrame([(1, "failed"), (2, None), (3, "done")], "id bigint, outcome string"), "first", F.col("outcome") == "failed")
+    metrics.written(rows.where("id < 0"), "second", F.lit(True))
+    assert rows.count() == 3 and [tuple(r) for r in metrics.table(spark).orderBy("stage").collect()] == [("first", 3, 1), ("second", 0, 0)]
+    assert StageMetrics().table(spark).collect() == []
